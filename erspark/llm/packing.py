@@ -36,6 +36,11 @@ CACHE_WORDS = 300_000
 MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 
+def lowered(s: str) -> str:
+    """Lower case, character by character (a final sigma is like any other)."""
+    return "".join([c.lower() for c in s]) if "\u03a3" in s else s.lower()
+
+
 class WordTokenizer:
     """The ids of the vocabulary file, worked out once per distinct word.
 
@@ -78,12 +83,12 @@ class WordTokenizer:
         if w[-1:] in MARKS and w[:-1].isalpha():
             return array("I", self.core.encode_single_piece(w[:-1].lower() + b"\xff") + self.core.encode_single_piece(w[-1:] + b"\xff")).tobytes()
         s = w.decode("utf-8", "replace")
-        if s.isalpha() and unicodedata.is_normalized("NFC", s):
-            return array("I", self.core.encode_single_piece(s.lower().encode() + b"\xff")).tobytes()
+        if s.isalpha() and unicodedata.is_normalized("NFC", s) and (low := lowered(s)).isalpha():
+            return array("I", self.core.encode_single_piece(low.encode() + b"\xff")).tobytes()
         if not self.simple(s) or "<|" in s:
             ids = self.own.encode(s, add_special_tokens=False).ids
         else:
-            s = unicodedata.normalize("NFC", s).lower()
+            s = lowered(unicodedata.normalize("NFC", s))
             ids = [i for p in self.split(s) for i in self.core.encode_single_piece(p.encode() + b"\xff")]
         return array("I", ids).tobytes()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, secret_scan, simhash
+from . import bloom_lm, bwt_dedup, license_scan, mixing, packing, quality_rules, secret_scan, simhash, va_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,27 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "_mix.*")
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return bwt_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op3_lm_score(spark, sf_dir):
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_va_topk(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    return va_file.top_k(emb, emb.where("vec_id % 100 = 0"))
+
+
+def op6_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -32,5 +49,11 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op7_secret_scan, op8_simhash, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_suffix_dedup, op3_lm_score, op4_quality_rules, op5_va_topk, op6_license_scan,
+        op7_secret_scan, op8_simhash, op10_best_fit_packing,
+    )
+}
+ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
