@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bwt_dedup, license_scan, mixing, packing, quality_rules, secret_scan, simhash, va_file
+from . import bloom_lm, bwt_dedup, chaining, license_scan, mixing, packing, quality_rules, secret_scan, simhash, va_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_chains(spark, sf_dir):
+    return chaining.substring_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_suffix_dedup, op3_lm_score, op4_quality_rules, op5_va_topk, op6_license_scan,
-        op7_secret_scan, op8_simhash, op10_best_fit_packing,
+        op7_secret_scan, op8_simhash, op9_substring_chains, op10_best_fit_packing,
     )
 }
 ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
