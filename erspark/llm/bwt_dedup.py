@@ -169,8 +169,11 @@ def repeated_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (hs, d1, d2, at)], names=["h", "d1", "d2", "pos"])
 
     found = rows.where(F.octet_length("_t") >= size).select("d1", "d2", "_t").mapInArrow(find, "h long, d1 long, d2 long, pos long")
-    place = F.struct("d1", "d2", "pos")
-    shared = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
+    # two places at least; a place goes by its hash, copies of a text have the same
+    place = F.xxhash64("d1", "d2", "pos")
+    shared = found.select("h", place.alias("p")).groupBy("h").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("h")
+    # written, so that the join below reads it anew and a hot anchor can be split
+    shared = materialize(shared, "shared")
     # copies of a text put the same places here
     places = found.join(shared, "h").groupBy("d1", "d2").agg(F.collect_set("pos").alias("at"))
     wanted = places.join(classes, ["d1", "d2"]).select("rid", "copies", "at")
