@@ -546,9 +546,9 @@ def name_pairs(spark, d):
 PAIRS_SQL = "WITH {R}, np AS (SELECT s1_id, cand_id, a.name AS n, b.name AS m, a.addr AS l, b.addr AS r FROM a JOIN b ON a.ctry = b.ctry AND substr(a.addr, 1, 3) = substr(b.addr, 1, 3) WHERE length(substr(a.addr, 1, 3)) = 3 AND substr(a.name, 1, 2) = substr(b.name, 1, 2)) "
 
 
-@query(PAIRS_SQL + "SELECT s1_id, cand_id, round(jaro_winkler_similarity(n, m), 6) AS n_jw FROM np")
+@query(PAIRS_SQL + "SELECT s1_id, cand_id, round(jaro_winkler_similarity(replace(strip_accents(n), 'ß', 'ss'), replace(strip_accents(m), 'ß', 'ss')), 6) AS n_jw FROM np")
 def j5_jaro_winkler(spark, d):
-    return name_pairs(spark, d).select("s1_id", "cand_id", r6(sim.jaro_winkler_ratio("n", "m")).alias("n_jw"))
+    return name_pairs(spark, d).select("s1_id", "cand_id", r6(sim.jaro_winkler_ratio(tx.romanise("n"), tx.romanise("m"))).alias("n_jw"))
 
 
 @query()
