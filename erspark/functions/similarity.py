@@ -110,3 +110,27 @@ def house_one_digit(a: Column, b: Column) -> Column:
     """1 if equal length and exactly one digit differs, -1 if one is missing."""
     differ = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))).cast("int"))
     return F.when((a == "") | (b == ""), -1).when((F.length(a) == F.length(b)) & (differ == 1), 1).otherwise(0)
+
+
+def acronym_hit(acr_a: Column, name_a: Column, acr_b: Column, name_b: Column) -> Column:
+    """1 if one side's acronym is the other side's name without spaces; the
+    first side's acronym needs two letters."""
+    glued = lambda c: F.regexp_replace(c, " ", "")
+    return ((F.length(acr_a) > 1) & ((acr_a == glued(name_b)) | (acr_b == glued(name_a)))).cast("int")
+
+
+def house_features(house: Column, mine: Column, nums: Column, theirs: Column) -> dict[str, Column]:
+    """A reference house number against a record's numbers (nums) and house
+    (theirs); mine: the reference's numbers.  -1 where a side is empty."""
+    there = (F.size(mine) > 0) & (F.size(nums) > 0) & (house != "")
+    nine = lambda c: F.substring(c, 1, 9).cast("long")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(house), F.lit(1))), lambda i: F.concat(F.substring(house, F.lit(1), i - 1), F.substring(house, i + 1, F.length(house))))
+    shorter = F.exists(nums, lambda y: (F.length(y) == F.length(house) - 1) & F.array_contains(cut, y))
+    made = {
+        "house_close": F.array_max(F.transform(nums, lambda y: number_close(house, y))),
+        "house_eq": F.array_contains(nums, house).cast("int"),
+        "house_diff": F.log1p(F.array_min(F.transform(nums, lambda y: F.abs(nine(house) - nine(y))))),
+        "house_drop": shorter.cast("int"),
+        "house_first": F.when(theirs != "", (theirs == house).cast("int")).otherwise(-1),
+    }
+    return {k: F.when(there, v).otherwise(-1) for k, v in made.items()}

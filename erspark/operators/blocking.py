@@ -101,3 +101,49 @@ def blocking_report(pairs: DataFrame, gold: DataFrame, s1: DataFrame) -> DataFra
     recall = whole.agg((F.sum("n_in") / F.sum("n")).alias("recall"), F.avg("all_in").alias("coverage"))
     size = p.agg(F.count("*").alias("n_pairs"))
     return recall.crossJoin(size).crossJoin(s1.select(F.countDistinct("s1_id").alias("n_s1"))).select("n_pairs", "recall", "coverage", (F.col("n_pairs") / F.col("n_s1")).alias("per_s1"))
+
+
+#: View name to (columns whose words or 5-grams it compares, words or grams,
+#: candidates for each record, references for each candidate).
+VIEWS = {"word": (("name", "addr"), "words", 20, 10), "name5": (("name",), "grams", 10, 5), "addr5": (("addr",), "grams", 10, 5)}
+
+
+def open_buckets(df: DataFrame, countries: DataFrame, unknown: str = "unk") -> DataFrame:
+    """df with rows of unknown country in the bucket of every country (ctry is
+    the bucket).  countries: few rows, checked by the caller's grouping."""
+    known = df.where(F.col("ctry") != unknown)
+    return known.unionByName(df.where(F.col("ctry") == unknown).drop("ctry").crossJoin(F.broadcast(countries.select("ctry"))).select(*df.columns))
+
+
+def block(s1: DataFrame, cands: DataFrame, tokens: dict, views: dict = VIEWS, budget: float = 5e6) -> DataFrame:
+    """All views over all countries in one plan, aligned.  tokens: "words" and
+    "grams" to a function from a text column to its tokens."""
+    made = {}
+    for name, (cols, kind, fwd, rev) in views.items():
+        t = tokens[kind](F.concat_ws(" ", *cols))
+        made[name] = tfidf_view(s1, cands, t, t, fwd, rev, budget)
+    return align_views(made)
+
+
+def token_products(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row per pair of a token of a and a token of b of a row; both lists
+    are short (names)."""
+    return df.withColumn("t", F.explode(a)).withColumn("u", F.explode(b)).drop(a, b)
+
+
+def admin_vocabulary(parts: DataFrame, s1_parts: DataFrame, least_state: int = 20, least_other: int = 100) -> DataFrame:
+    """(ctry, term, kind): what stands for areas in addresses.  parts: ctry,
+    comps (array) of candidates; s1_parts: the same of references.  state:
+    frequent reference components that mostly end the address; noise: frequent
+    candidate words that no reference has; alias: frequent candidate components
+    that no reference has."""
+    size = lambda df: df.groupBy("ctry").agg(F.count("*").alias("rows"))
+    comps = lambda df: df.select("ctry", F.posexplode("comps").alias("at", "term"), F.size("comps").alias("of"))
+    words = lambda df: comps(df).select("ctry", F.explode(F.split("term", " ")).alias("term")).where("term <> ''")
+    ours = comps(s1_parts).groupBy("ctry", "term").agg(F.count("*").alias("n"), F.sum((F.col("at") == F.col("of") - 1).cast("long")).alias("last"))
+    state = ours.join(size(s1_parts), "ctry").where(f"n >= greatest({least_state}, 5e-4 * rows) and last >= 0.5 * n")
+    noise = words(parts).groupBy("ctry", "term").agg(F.count("*").alias("n")).where(f"n >= {least_other} and not term rlike '^[0-9]+$'").join(words(s1_parts), ["ctry", "term"], "left_anti")
+    alias = comps(parts).groupBy("ctry", "term").agg(F.count("*").alias("n")).join(size(parts), "ctry").where(f"n >= greatest({least_other}, 5e-4 * rows)")
+    alias = alias.where(~F.col("term").rlike("[0-9]")).join(ours, ["ctry", "term"], "left_anti")
+    kind = lambda df, k: df.select("ctry", "term", F.lit(k).alias("kind"))
+    return kind(state, "state").unionByName(kind(noise, "noise")).unionByName(kind(alias, "alias"))

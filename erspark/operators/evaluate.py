@@ -55,3 +55,53 @@ def check_lists(lines: DataFrame, owners: DataFrame, known: DataFrame, candidate
     if candidates is not None:
         found.append(say(ids.join(candidates, ["s1_id", "id"], "left_anti"), "not a candidate", "warning", "id"))
     return reduce(DataFrame.unionByName, found).distinct()
+
+
+def ceiling(reachable: Column, true: Column, beta: float = 0.5) -> Column:
+    """F of a perfect decision over a shortlist: reachable of true matches."""
+    b2 = beta * beta
+    return F.when(true == 0, 1.0).when(reachable == 0, 0.0).otherwise((1 + b2) * reachable / (reachable + b2 * true))
+
+
+def uncertain(pairs: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """The pairs that a second scorer should see."""
+    return pairs.where((F.col("p") > low) & (F.col("p") < high))
+
+
+def error_tags(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(s1_id, id, tag) of every error.  rows: scored(); listed: s1_id, ids of
+    the shortlist."""
+    r = rows.join(listed.select("s1_id", F.col("ids").alias("_listed")), "s1_id", "left")
+    fp = F.when(F.size("true_ids") == 0, "FP_singleton").otherwise("FP_matched")
+    wrong = r.select("s1_id", F.explode(F.array_except("ids", "true_ids")).alias("id"), fp.alias("tag"))
+    missed = r.select("s1_id", "_listed", F.explode(F.array_except("true_ids", "ids")).alias("id"))
+    low = F.when(F.coalesce(F.array_contains("_listed", F.col("id")), F.lit(False)), "FN_low_p").otherwise("FN_not_blocked")
+    return wrong.unionByName(missed.select("s1_id", "id", low.alias("tag")))
+
+
+def attribution(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(kind, gain): what mean F would gain if one kind of error were mended
+    alone."""
+    r = rows.join(listed.select("s1_id", F.col("ids").alias("_listed")), "s1_id", "left").withColumn("_listed", F.coalesce("_listed", F.array_except("ids", "ids")))
+    right, missed = F.array_intersect("ids", "true_ids"), F.array_except("true_ids", "ids")
+    gain = lambda ids: f_beta(ids, F.col("true_ids")) - F.col("f")
+    single = F.size("true_ids") == 0
+    parts = {
+        "singleton_FP": F.when(single, gain(right)).otherwise(0.0),
+        "matched_FP": F.when(single, 0.0).otherwise(gain(right)),
+        "FN_listed": gain(F.array_union("ids", F.array_intersect(missed, F.col("_listed")))),
+        "FN_not_listed": gain(F.array_union("ids", F.array_except(missed, F.col("_listed")))),
+    }
+    one = r.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("gain")) for k, v in parts.items()])).alias("x")).select("x.*")
+    return one.groupBy("kind").agg(F.avg("gain").alias("gain"))
+
+
+def checked_write(lists: DataFrame, path: str, owners: DataFrame, known: DataFrame) -> DataFrame:
+    """Write (s1_id, ids text) as id-list lines, read them back, check them;
+    raises if a rule of severity error is broken."""
+    lists.select(F.concat_ws("\t", "s1_id", "ids").alias("value")).write.text(path)
+    lines = lists.sparkSession.read.text(path)
+    first = check_lists(lines, owners, known).where("severity = 'error'").limit(5).collect()
+    if first:
+        raise ValueError("output refused: " + "; ".join(f"{r.rule} {r.offender}" for r in first))
+    return lines

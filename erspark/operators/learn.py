@@ -8,7 +8,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,50 @@ def out_of_fold(df: DataFrame, features: list[str], key: str, k: int = 3, **kw)
 
 def add_labels(pairs: DataFrame, gold: DataFrame) -> DataFrame:
     return pairs.join(gold.withColumn("y", F.lit(1)), ["s1_id", "cand_id"], "left").na.fill(0, ["y"])
+
+
+def auc_log_loss(df: DataFrame, p: str = "p", y: str = "y", steps: int = 4096) -> DataFrame:
+    """One row: auc (ties count half) and log-loss of p in [0, 1].  Both come
+    from counts per score, summed within steps of the score and over the steps."""
+    per = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg")).withColumn("step", F.floor(F.col("p") * steps))
+    before = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = per.groupBy("step").agg(F.sum("neg").alias("neg")).withColumn("base", before(Window.orderBy("step"))).drop("neg")
+    q = F.greatest(F.least(F.col("p"), F.lit(1 - 1e-15)), F.lit(1e-15))
+    below = F.col("base") + before(Window.partitionBy("step").orderBy("p"))
+    out = per.join(base, "step").select(
+        "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("won"), (-(F.col("pos") * F.log(q) + F.col("neg") * F.log(1 - q))).alias("loss")
+    )
+    return out.agg((F.sum("won") / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"), (F.sum("loss") / F.sum(F.col("pos") + F.col("neg"))).alias("log_loss"))
+
+
+def without_owners(pairs: DataFrame, share: float = 0.19, seed: int = 3) -> DataFrame:
+    """pairs without a share of the references, chosen by their ids."""
+    return pairs.where(share_hash(F.col("s1_id"), seed) >= share)
+
+
+def jittered(df: DataFrame, features: list[str], share: float = 0.01, seed: int = 4) -> DataFrame:
+    """Features with normal noise of that share of their standard deviation."""
+    sd = df.agg(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"_sd_{c}") for c in features])
+    noisy = {c: F.col(c) + F.randn(seed + i) * share * F.col(f"_sd_{c}") for i, c in enumerate(features)}
+    return df.crossJoin(F.broadcast(sd)).withColumns(noisy).select(*df.columns)
+
+
+def leave_one_out(df: DataFrame, features: list[str], by: str, values: list, **kw) -> DataFrame:
+    """Predictions for each group from a model of all others (few groups)."""
+    return reduce(DataFrame.unionByName, [predict(fit_gbt(df.where(F.col(by) != v), features, **kw), df.where(F.col(by) == v), features) for v in values])
+
+
+def cross_calibrated(df: DataFrame, p: str, key: str, k: int = 2) -> DataFrame:
+    """p of each fold calibrated on the other folds."""
+    folded = df.withColumn("_fold", fold(F.col(key), k, 2))
+    parts = [calibrated(calibrate(folded.where(F.col("_fold") != i), p), folded.where(F.col("_fold") == i), p) for i in range(k)]
+    return reduce(DataFrame.unionByName, parts).drop("_fold")
+
+
+def importances(model, features: list[str]) -> list[tuple[str, float]]:
+    """Features by gain, greatest first."""
+    return sorted(zip(features, map(float, model.featureImportances), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def feature_columns(df: DataFrame, not_features: set[str]) -> list[str]:
+    return [c for c in df.columns if c not in not_features]

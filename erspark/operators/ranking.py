@@ -65,3 +65,33 @@ def rank_average(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
         ordered = per.withColumn("_to", F.sum("_n").over(Window.orderBy(c)))
         out = out.join(ordered.select(c, (F.col("_to") - (F.col("_n") - 1) / 2).alias(f"_r_{c}")), c)
     return out.withColumn(name, (F.col(f"_r_{a}") + F.col(f"_r_{b}")) / 2).drop(f"_r_{a}", f"_r_{b}")
+
+
+def second_stage_context(pairs: DataFrame, others: DataFrame | None = None, sure: float = 0.5) -> DataFrame:
+    """Where p stands among the pairs of its reference and of its candidate.
+    others (cand_id, p): pairs with further references; they compete on the
+    candidate's side and get no rows."""
+    w1, w2 = Window.partitionBy("s1_id"), Window.partitionBy("cand_id")
+    every = pairs.withColumn("_own", F.lit(True))
+    if others is not None:
+        every = every.unionByName(others.select("cand_id", "p").withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    conf = (F.col("p") >= sure).cast("long")
+    every = every.withColumns({
+        "p1_rank_c": F.rank().over(w2.orderBy(F.desc("p"))),
+        "p1_gap_c": F.max("p").over(w2) - F.col("p"),
+        "n_conf_c": F.sum(conf).over(w2) - conf,
+    }).where("_own").drop("_own")
+    return every.withColumns({
+        "p1_rank_s1": F.rank().over(w1.orderBy(F.desc("p"))),
+        "p1_gap_s1": F.max("p").over(w1) - F.col("p"),
+        "p1_sum_s1": F.sum("p").over(w1),
+        "n_conf_s1": F.sum(conf).over(w1) - conf,
+    })
+
+
+def sibling_aggregates(pairs: DataFrame, siblings: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """pairs with the greatest and mean of siblings' values; nulls are skipped,
+    -1 where there is none."""
+    made = [f(v).alias(f"sib_{v}_{n}") for v in values for n, f in (("max", F.max), ("mean", F.avg))]
+    names = [f"sib_{v}_{n}" for v in values for n in ("max", "mean")]
+    return pairs.join(siblings.groupBy(*keys).agg(*made), keys, "left").na.fill(-1, names)

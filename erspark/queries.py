@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -664,3 +665,289 @@ def e29_shortlist_misses(spark, d):
     p = a.join(b.select("cand_id", *keys), keys).select("s1_id", "cand_id").distinct().withColumn("_in", F.lit(1))
     g = gold(spark, d).join(p, ["s1_id", "cand_id"], "left").groupBy("s1_id").agg(F.max(F.col("_in").isNull().cast("int")).alias("miss"))
     return g.join(a.select("s1_id", "ctry"), "s1_id").groupBy("ctry").agg(r6(F.avg("miss")).alias("p_outside"))
+
+
+# -- the rest of the inventory ------------------------------------------------
+@query("WITH {R} SELECT s1_id, cand_id FROM a JOIN b USING (digest)")
+def a5_truth_cache(spark, d):
+    return sources.cached_stage(spark, place(spark), lambda: gold(spark, d))
+
+
+@query("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def a8_batched_scan(spark, d):
+    def batches(it):
+        for pdf in it:
+            yield pdf.groupby("l_orderkey").size().rename("n").reset_index()
+
+    return table(spark, d, "lineitem").select("l_orderkey").mapInPandas(batches, "l_orderkey long, n long").groupBy("l_orderkey").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+def a12_json_sink(spark, d):
+    path = place(spark)
+    table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n")).write.json(path)
+    return spark.read.schema("region long, n long").json(path).select(F.col("region").cast(table(spark, d, "nation").schema["n_regionkey"].dataType).alias("region"), "n")
+
+
+@query("SELECT s_suppkey, concat('bat ', s_suppkey) AS t FROM supplier")
+def b2_number_signs(spark, d):
+    raw = F.concat(F.lit("bat N° "), F.col("s_suppkey").cast("string"))
+    return table(spark, d, "supplier").select("s_suppkey", F.trim(F.regexp_replace(tx.drop_number_signs(raw), " +", " ")).alias("t"))
+
+
+@query("""SELECT c_custkey, lower(c_mktsegment) AS ctry, trim(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS name, replace(trim(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ', '') AS glued,
+ regexp_replace(regexp_extract(c_name, '\\d+'), '^0+(.)', '\\1') AS nums FROM customer""")
+def b19_b20_prepare(spark, d):
+    name = tx.base_clean(F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", tx.country_key(F.col("c_mktsegment")).alias("ctry"), name.alias("name"), tx.no_space(name).alias("glued"), F.array_join(tx.numbers(name), " ").alias("nums"))
+
+
+@query("WITH {R} SELECT CAST(id AS VARCHAR) AS base_id, concat(name, '|', addr) AS k FROM rec")
+def b23_b24_base_id_and_key(spark, d):
+    clone = F.concat(F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "~c").otherwise(""))
+    return records(spark, d).select(F.regexp_replace(clone, "~c$", "").alias("base_id"), F.concat_ws("|", "name", "addr").alias("k"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat(s_suppkey, '|', CASE WHEN s_suppkey % 3 = 1 THEN 'lilas' ELSE 'victor' END) END AS k FROM supplier")
+def b28_street_key(spark, d):
+    n = F.col("s_suppkey").cast("string")
+    kinds = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Zone "), n)).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("0"), n, F.lit(" bis, avenue des Lilas"))).otherwise(F.concat(n, F.lit(" Rue Victor Hugo")))
+    return table(spark, d, "supplier").select("s_suppkey", tx.street_key(kinds).alias("k"))
+
+
+@query("SELECT n_nationkey, r_name AS ctry FROM nation JOIN region ON n_regionkey = r_regionkey OR n_regionkey = 0 WHERE n_regionkey <> 0 OR true")
+def c1_open_buckets(spark, d):
+    r = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("ctry"))
+    n = table(spark, d, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.when(F.col("n_regionkey") == 0, "unk").otherwise(F.col("ctry")).alias("ctry"))
+    return blocking.open_buckets(n, r)
+
+
+@query(f"WITH {OWNED_SQL} SELECT s1_id, cand_id, p FROM p WHERE p > 0.015 AND p < 0.085")
+def c6_uncertain_band(spark, d):
+    return evaluate.uncertain(scored_pairs(spark, d).select("s1_id", "cand_id", "p"), 0.015, 0.085)
+
+
+@query("SELECT 'malformed' AS rule, 'error' AS severity, concat('S1-', o_orderkey) AS offender FROM orders WHERE o_orderkey % 70 = 0 UNION ALL SELECT 'missing', 'error', concat('S1-', o_orderkey) FROM orders WHERE o_orderkey % 70 = 0 UNION ALL SELECT DISTINCT 'unknown prefix', 'error', 'X9' FROM orders WHERE o_orderkey % 70 <> 0 AND o_orderkey % 9 = 0")
+def c9_row_validity(spark, d):
+    k = F.concat(F.lit("S1-"), F.col("o_orderkey"))
+    o = table(spark, d, "orders").select("o_orderkey", k.alias("s1_id"))
+    line = F.when(F.col("o_orderkey") % 70 == 0, F.col("s1_id")).when(F.col("o_orderkey") % 9 == 0, F.concat("s1_id", F.lit("\tX9"))).otherwise(F.concat("s1_id", F.lit("\t")))
+    return evaluate.check_lists(o.select(line.alias("value")), o.select("s1_id"), spark.createDataFrame([], "id string"))
+
+
+@query("WITH {R} SELECT DISTINCT ctry, unnest(list_filter(string_split(name, ' '), lambda x: x <> '')) AS tok FROM a")
+def e4_reference_vocabulary(spark, d):
+    return sides(spark, d)[0].select("ctry", F.explode(tx.words(F.col("name"))).alias("tok")).distinct()
+
+
+@query("""WITH {R}, ca AS (SELECT ctry, string_split(addr, ' ') AS c FROM a WHERE addr <> ''), cb AS (SELECT ctry, string_split(addr, ' ') AS c FROM b WHERE addr <> ''),
+ xa AS (SELECT ctry, len(c) AS z, unnest(c) AS term, generate_subscripts(c, 1) AS i FROM ca), xb AS (SELECT ctry, unnest(c) AS term FROM cb),
+ na AS (SELECT ctry, term, count(*) AS n, sum((i = z)::INT) AS l FROM xa GROUP BY ALL), nb AS (SELECT ctry, term, count(*) AS n FROM xb GROUP BY ALL)
+SELECT ctry, term, 'state' AS kind FROM na JOIN (SELECT ctry, count(*) AS r FROM ca GROUP BY 1) USING (ctry) WHERE n >= greatest(2, 5e-4 * r) AND l >= 0.5 * n
+UNION ALL SELECT ctry, term, 'noise' FROM nb ANTI JOIN na USING (ctry, term) WHERE n >= 4 AND NOT regexp_full_match(term, '[0-9]+')
+UNION ALL SELECT ctry, term, 'alias' FROM nb ANTI JOIN na USING (ctry, term) JOIN (SELECT ctry, count(*) AS r FROM cb GROUP BY 1) USING (ctry) WHERE n >= greatest(4, 5e-4 * r) AND NOT regexp_matches(term, '[0-9]')""")
+def e5_admin_vocabulary(spark, d):
+    a, b = (x.where("addr <> ''").select("ctry", F.split("addr", " ").alias("comps")) for x in sides(spark, d))
+    return blocking.admin_vocabulary(b, a, 2, 4)
+
+
+@query(f"""WITH {OWNED_SQL}, x AS (SELECT l_partkey AS cand_id, l_tax AS p FROM lineitem WHERE l_orderkey % 5 = 0), e AS (SELECT s1_id, cand_id, p * 10 AS p, true AS own FROM p UNION ALL SELECT NULL, cand_id, p * 10, false FROM x),
+ c AS (SELECT *, rank() OVER (PARTITION BY cand_id ORDER BY p DESC) AS p1_rank_c, round(max(p) OVER (PARTITION BY cand_id) - p, 6) AS p1_gap_c, CAST(sum((p >= 0.5)::INT) OVER (PARTITION BY cand_id) - (p >= 0.5)::INT AS BIGINT) AS n_conf_c FROM e)
+SELECT s1_id, cand_id, p1_rank_c, p1_gap_c, n_conf_c, rank() OVER (PARTITION BY s1_id ORDER BY p DESC) AS p1_rank_s1, round(max(p) OVER (PARTITION BY s1_id) - p, 6) AS p1_gap_s1, round(sum(p) OVER (PARTITION BY s1_id), 6) AS p1_sum_s1,
+ CAST(sum((p >= 0.5)::INT) OVER (PARTITION BY s1_id) - (p >= 0.5)::INT AS BIGINT) AS n_conf_s1 FROM c WHERE own""")
+def f7_j22_second_stage_context(spark, d):
+    p = scored_pairs(spark, d).select("s1_id", "cand_id", (F.col("p") * 10).alias("p"))
+    x = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_partkey").alias("cand_id"), (F.col("l_tax") * 10).alias("p"))
+    out = ranking.second_stage_context(p, x)
+    return out.select("s1_id", "cand_id", long("p1_rank_c").alias("p1_rank_c"), r6("p1_gap_c").alias("p1_gap_c"), "n_conf_c", long("p1_rank_s1").alias("p1_rank_s1"), r6("p1_gap_s1").alias("p1_gap_s1"), r6("p1_sum_s1").alias("p1_sum_s1"), "n_conf_s1")
+
+
+@query("""SELECT o_orderkey, coalesce(max(l_tax), -1) AS sib_v_max, round(coalesce(avg(l_tax), -1), 6) AS sib_v_mean FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_discount > 0.07) ON l_orderkey = o_orderkey GROUP BY 1""")
+def e11_sibling_aggregates(spark, d):
+    s = table(spark, d, "lineitem").where("l_discount > 0.07").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_tax").alias("v"))
+    return ranking.sibling_aggregates(table(spark, d, "orders").select("o_orderkey"), s, ["v"], ["o_orderkey"]).withColumn("sib_v_mean", r6("sib_v_mean"))
+
+
+@query(FB_SQL + ", h AS (SELECT s1_id, len(y) AS m, len(list_intersect(x, y)) AS k FROM t) SELECT s1_id, round(CAST(CASE WHEN m = 0 THEN 1.0 WHEN k = 0 THEN 0.0 ELSE 1.25 * k / (k + 0.25 * m) END AS DOUBLE), 6) AS top FROM h")
+def e21_ceiling(spark, d):
+    rows = evaluate.scored(*found_and_true(spark, d))
+    return rows.select("s1_id", r6(evaluate.ceiling(F.size(F.array_intersect("ids", "true_ids")), F.size("true_ids"))).alias("top"))
+
+
+@query("""WITH s AS (SELECT 0.05 + 9 * l_discount AS p, sum((l_linestatus = 'F')::INT) AS a, sum((l_linestatus <> 'F')::INT) AS b FROM lineitem GROUP BY 1), w AS (SELECT *, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM s)
+SELECT round(CAST(sum(a * (u + b / 2)) / (sum(a) * sum(b)) AS DOUBLE), 6) AS auc, round(CAST(-sum(a * ln(p) + b * ln(1 - p)) / sum(a + b) AS DOUBLE), 6) AS log_loss FROM w""")
+def e30_auc_log_loss(spark, d):
+    p = table(spark, d, "lineitem").select((F.lit(0.05) + 9 * F.col("l_discount")).alias("p"), (F.col("l_linestatus") == "F").cast("int").alias("y"))
+    return learn.auc_log_loss(p).select(r6("auc").alias("auc"), r6("log_loss").alias("log_loss"))
+
+
+@query("""WITH {R} SELECT a.ctry, count(*) AS n, round(avg((a.name = b.name)::INT), 6) AS name_exact, round(avg((b.addr = '')::INT), 6) AS addr_empty, round(avg((a.addr = b.addr)::INT), 6) AS addr_exact,
+ round(avg((NOT list_has_any(string_split(a.addr, ' '), string_split(b.addr, ' ')))::INT), 6) AS disjoint FROM a JOIN b ON a.ctry = b.ctry AND a.name = b.name WHERE a.name <> '' GROUP BY 1""")
+def e31_noise_census(spark, d):
+    a, b = sides(spark, d)
+    m = a.where("name <> ''").select("ctry", "name", F.col("addr").alias("x")).join(b.select("ctry", "name", F.col("addr").alias("y")), ["ctry", "name"])
+    share = lambda c: r6(F.avg(c.cast("int")))
+    apart = ~F.arrays_overlap(F.split("x", " "), F.split("y", " "))
+    return m.groupBy("ctry").agg(F.count("*").alias("n"), r6(F.lit(1.0)).alias("name_exact"), share(F.col("y") == "").alias("addr_empty"), share(F.col("x") == F.col("y")).alias("addr_exact"), share(apart).alias("disjoint"))
+
+
+@query("""WITH {R}, k AS (SELECT DISTINCT ctry, name, unnest(string_split(addr, ' ')) AS t FROM a), h AS (SELECT DISTINCT cand_id FROM (SELECT cand_id, ctry, name, unnest(string_split(addr, ' ')) AS t FROM b) JOIN k USING (ctry, name, t))
+SELECT ctry, round(avg((h.cand_id IS NOT NULL)::INT), 6) AS share FROM b LEFT JOIN h USING (cand_id) GROUP BY 1""")
+def e33_owner_proxy(spark, d):
+    a, b = sides(spark, d)
+    t = lambda df, *c: df.select(*c, "ctry", "name", F.explode(F.split("addr", " ")).alias("t")).distinct()
+    hit = t(b, "cand_id").join(t(a), ["ctry", "name", "t"], "left_semi").select("cand_id").distinct().withColumn("h", F.lit(1))
+    return b.select("cand_id", "ctry").join(hit, "cand_id", "left").groupBy("ctry").agg(r6(F.avg(F.coalesce("h", F.lit(0)))).alias("share"))
+
+
+@query("WITH {R}, x AS (SELECT id, unnest(string_split(name, ' ')) AS t, string_split(addr, ' ') AS u FROM rec) SELECT id, t, unnest(u) AS u FROM x")
+def h6_token_products(spark, d):
+    r = records(spark, d).select("id", F.split("name", " ").alias("x"), F.split("addr", " ").alias("y"))
+    return blocking.token_products(r, "x", "y")
+
+
+@query()
+def i5_i6_j23_block_views(spark, d):
+    a, b = sides(spark, d)
+    views = written(blocking.block(a, b, {"words": tx.words, "grams": tx.char_grams}, budget=20_000))
+    return ranking.rank_features(views, list(blocking.VIEWS))
+
+
+@query("""WITH {R}, k AS (SELECT ctry, name, addr FROM a WHERE name <> '' AND addr <> '' GROUP BY ALL HAVING count(*) <= 30), v AS (SELECT DISTINCT s1_id, cand_id FROM a JOIN k USING (ctry, name, addr) JOIN b USING (ctry, name, addr)),
+ g AS (SELECT s1_id, cand_id FROM a JOIN b USING (digest)) SELECT s1_id, cand_id, CASE WHEN g.s1_id IS NULL THEN 0.0 ELSE 0.5 END::DOUBLE AS score, CASE WHEN v.s1_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS v_key FROM g FULL JOIN v USING (s1_id, cand_id)""")
+def i7_key_view(spark, d):
+    a, b = sides(spark, d)
+    a, b = a.where("addr <> ''"), b.where("addr <> ''")
+    return blocking.with_flag(gold(spark, d).withColumn("score", F.lit(0.5)), blocking.key_pairs(a, b, ["ctry", "name", "addr"]), "v_key", ["score"])
+
+
+ACR = "array_to_string(list_transform(list_filter(string_split({0}, ' '), lambda x: x <> '' AND NOT regexp_matches(x, '^\\d+$')), lambda x: substr(x, 1, 1)), '')"
+
+
+@query(PAIRS_SQL + f""", k AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS w FROM a), s AS (SELECT cand_id, avg((k.w IS NOT NULL)::INT) AS f FROM (SELECT cand_id, unnest(string_split(name, ' ')) AS t FROM b WHERE name <> '') LEFT JOIN k ON k.w = t GROUP BY 1)
+SELECT s1_id, cand_id, CAST(cand_id % 2 AS INT) AS has_alt, CAST((length({ACR.format('n')}) > 1 AND ({ACR.format('n')} = replace(m, ' ', '') OR {ACR.format('m')} = replace(n, ' ', '')))::INT AS INT) AS n_acr_hit, round(f, 6) AS r_known_frac, CAST((r = '')::INT AS INT) AS r_addr_empty FROM np JOIN s USING (cand_id)""")
+def j7_j8_j10_j18_flags(spark, d):
+    a, _ = sides(spark, d)
+    vocabulary = a.select(F.explode(F.split("name", " ")).alias("t")).distinct().withColumn("k", F.lit(1))
+    p = name_pairs(spark, d)
+    known = p.select("cand_id", "m").distinct().select("cand_id", F.explode(F.split("m", " ")).alias("t")).join(vocabulary, "t", "left").groupBy("cand_id").agg(F.avg(F.coalesce("k", F.lit(0))).alias("f"))
+    alt = F.when(F.col("cand_id") % 2 == 1, "alias").otherwise("")
+    acr = lambda c: tx.acronym(tx.words(F.col(c)))
+    return p.join(known, "cand_id").select("s1_id", "cand_id", (alt != "").cast("int").alias("has_alt"), sim.acronym_hit(acr("n"), F.col("n"), acr("m"), F.col("m")).alias("n_acr_hit"), r6("f").alias("r_known_frac"), (F.col("r") == "").cast("int").alias("r_addr_empty"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS h, list_distinct(list(CAST(l_suppkey * 10 + l_linenumber % 3 AS VARCHAR))) AS ns FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT o_orderkey, CAST(list_contains(ns, h)::INT AS INT) AS house_eq, round(ln(1 + list_min(list_transform(ns, lambda y: abs(CAST(h AS BIGINT) - CAST(y AS BIGINT))))), 6) AS house_diff,
+ CAST((len(list_filter(ns, lambda y: length(y) = length(h) - 1 AND list_contains(list_transform(range(1, length(h) + 1), lambda i: substr(h, 1, i - 1) || substr(h, i + 1)), y))) > 0)::INT AS INT) AS house_drop, CAST((h = '7')::INT AS INT) AS house_first FROM x""")
+def j15_house(spark, d):
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set((F.col("l_suppkey") * 10 + F.col("l_linenumber") % 3).cast("string")).alias("ns"))
+    x = table(spark, d, "orders").join(li, "o_orderkey").withColumn("h", F.col("o_custkey").cast("string"))
+    made = sim.house_features(F.col("h"), F.array("h"), F.col("ns"), F.lit("7"))
+    return x.select("o_orderkey", made["house_eq"].alias("house_eq"), r6(made["house_diff"]).alias("house_diff"), made["house_drop"].alias("house_drop"), made["house_first"].alias("house_first"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') AND o_orderpriority = '1-URGENT' THEN 1 ELSE -1 END AS INT) AS ts_state FROM orders JOIN customer ON c_custkey = o_custkey")
+def j16_state_after_aliases(spark, d):
+    table_of = tx.literal_map({"building": "urgent", "machinery": "urgent"})
+    x = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return x.select("o_orderkey", sim.tri_state(tx.rewrite(F.array(F.lower("c_mktsegment")), table_of), F.array(F.lower(F.substring("o_orderpriority", 3, 20)))).alias("ts_state"))
+
+
+LISTED_SQL = FB_SQL + ", e AS (SELECT s1_id, x, y, f, list_distinct(coalesce((SELECT list(l_suppkey) FROM lineitem WHERE l_orderkey = s1_id AND l_quantity > 10), [])) AS z FROM f) "
+
+
+def listed(spark, d):
+    return table(spark, d, "lineitem").where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("s1_id")).agg(F.collect_set("l_suppkey").alias("ids"))
+
+
+@query(LISTED_SQL + """SELECT s1_id, unnest(list_filter(x, lambda v: NOT list_contains(y, v))) AS id, CASE WHEN len(y) = 0 THEN 'FP_singleton' ELSE 'FP_matched' END AS tag FROM e
+UNION ALL SELECT s1_id, id, CASE WHEN list_contains(z, id) THEN 'FN_low_p' ELSE 'FN_not_blocked' END FROM (SELECT s1_id, z, unnest(list_filter(y, lambda v: NOT list_contains(x, v))) AS id FROM e)""")
+def k28_error_tags(spark, d):
+    return evaluate.error_tags(evaluate.scored(*found_and_true(spark, d)), listed(spark, d))
+
+
+FIXED = "CASE WHEN len({0}) = 0 AND len(y) = 0 THEN 1.0 WHEN len(list_intersect({0}, y)) = 0 THEN 0.0 ELSE 1.25 * len(list_intersect({0}, y)) / (0.25 * len(y) + len({0})) END - f"
+
+
+@query(LISTED_SQL + f""", v AS (SELECT *, list_intersect(x, y) AS v1, list_distinct(list_concat(x, list_intersect(y, z))) AS v2, list_distinct(list_concat(x, list_filter(y, lambda q: NOT list_contains(z, q)))) AS v3 FROM e)
+SELECT kind, round(CAST(g AS DOUBLE), 6) AS gain FROM (SELECT 'singleton_FP' AS kind, avg(CASE WHEN len(y) = 0 THEN {FIXED.format('v1')} ELSE 0 END) AS g FROM v UNION ALL SELECT 'matched_FP', avg(CASE WHEN len(y) = 0 THEN 0 ELSE {FIXED.format('v1')} END) FROM v
+ UNION ALL SELECT 'FN_listed', avg({FIXED.format('v2')}) FROM v UNION ALL SELECT 'FN_not_listed', avg({FIXED.format('v3')}) FROM v)""")
+def k27_attribution(spark, d):
+    return evaluate.attribution(evaluate.scored(*found_and_true(spark, d)), listed(spark, d)).select("kind", r6("gain").alias("gain"))
+
+
+@query(f"WITH {OWNED_SQL}, w AS (SELECT o_orderpriority AS ctry, count(*) AS n FROM orders GROUP BY 1) SELECT ctry, round(sum((p >= 0.05 AND rk < 0.03)::INT) / any_value(n), 6) AS same_per_s1, round(sum((p < 0.05 AND rk >= 0.06)::INT) / any_value(n), 6) AS twins_per_s1 FROM p JOIN orders ON o_orderkey = s1_id JOIN w ON o_orderpriority = ctry GROUP BY 1")
+def k29_risk_monitor(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("s1_id"), F.col("o_orderpriority").alias("ctry"))
+    n = o.groupBy("ctry").agg(F.count("*").alias("n"))
+    count = lambda c: r6(F.sum(c.cast("int")) / F.first("n"))
+    high = F.col("p") >= 0.05
+    return scored_pairs(spark, d).join(o, "s1_id").join(n, "ctry").groupBy("ctry").agg(count(high & (F.col("rk") < 0.03)).alias("same_per_s1"), count(~high & (F.col("rk") >= 0.06)).alias("twins_per_s1"))
+
+
+@query(f"WITH {OWNED_SQL} SELECT s1_id, cand_id FROM p WHERE p > 0.005 AND p < 0.095 AND s1_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)")
+def k31_second_scorer_lists(spark, d):
+    seen = table(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_orderkey").alias("s1_id"))
+    return evaluate.uncertain(scored_pairs(spark, d), 0.005, 0.095).join(seen, "s1_id", "left_anti").select("s1_id", "cand_id")
+
+
+@query()
+def k12_k13_k41_shifted_frames(spark, d):
+    p = learn.without_owners(scored_pairs(spark, d)).withColumn("decoy", F.col("rk") == 0).withColumn("y", F.lit(0))
+    made = learn.jittered(p, ["p", "rk"]).withColumns({"fold": learn.fold(F.col("s1_id")), "wq": learn.decoy_weight(F.lit(0.5))})
+    return made.groupBy("fold", "wq").agg(F.count("*").alias("n"))
+
+
+@query()
+def k35_decode_grid(spark, d):
+    s1 = table(spark, d, "orders").select(F.col("o_orderkey").alias("s1_id"))
+    p = written(scored_pairs(spark, d))
+    tries = [(scale, outside) for scale in (5, 9) for outside in (0.0, 0.1)]
+    one = lambda s, o: decode.decode(p.withColumn("p", F.col("p") * s), s1, outside=o).agg(F.lit(s).alias("scale"), F.lit(o).alias("outside"), F.sum(F.size("ids")).alias("n"))
+    return reduce(DataFrame.unionByName, [one(*t) for t in tries])
+
+
+@query()
+def k23_k36_audit(spark, d):
+    """Decode, score and break down, on audit references alone."""
+    found, true = found_and_true(spark, d)
+    audit = learn.population(F.col("s1_id")) == "audit"
+    return evaluate.breakdown(evaluate.scored(found, true.where(audit)))
+
+
+def labelled_pairs(spark, d):
+    p = learn.add_labels(name_pairs(spark, d), gold(spark, d))
+    return written(p.select("s1_id", "cand_id", "ctry", "y", sim.indel_ratio("n", "m").alias("nr"), sim.jaccard(F.split("l", " "), F.split("r", " ")).alias("aj")))
+
+
+@query()
+def a13_k9_k10_k37_k40_two_stages(spark, d):
+    """First-stage scores, their context, a stored second model, calibration by
+    other folds, decoding, and a checked id-list file."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    first = written(learn.out_of_fold(labelled_pairs(spark, d), ["nr", "aj"], "s1_id", 2, rounds=2, depth=3))
+    x = ranking.second_stage_context(first).withColumnRenamed("p", "p1")
+    names = learn.feature_columns(x, {"s1_id", "cand_id", "ctry", "y"})
+    path = place(spark)
+    learn.fit_gbt(x, names, 2, 3).write().save(path)
+    scored = written(learn.predict(GBTClassificationModel.load(path), x, names))
+    out = written(learn.cross_calibrated(scored, "p", "s1_id").withColumn("rk", F.col("nr")))
+    owners = sides(spark, d)[0].select("s1_id")
+    name = lambda c, s: F.concat(F.lit(s), F.col(c))
+    lists = decode.decode(out, owners).select(name("s1_id", "S1-").alias("s1_id"), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("S2-"), i)), ",").alias("ids"))
+    known = sides(spark, d)[1].select(name("cand_id", "S2-").alias("id"))
+    return evaluate.checked_write(lists, place(spark), owners.select(name("s1_id", "S1-").alias("s1_id")), known)
+
+
+@query()
+def k14_leave_one_country_out(spark, d):
+    p = labelled_pairs(spark, d)
+    groups = [r.ctry for r in p.select("ctry").distinct().orderBy("ctry").limit(3).collect()][:2]
+    return learn.leave_one_out(p, ["nr", "aj"], "ctry", groups, rounds=2, depth=2).groupBy("ctry").agg(F.count("*").alias("n"))
+
+
+@query()
+def k34_importances(spark, d):
+    names = ["nr", "aj"]
+    return spark.createDataFrame(learn.importances(learn.fit_gbt(labelled_pairs(spark, d), names, 2, 2), names), "feature string, gain double")
