@@ -129,3 +129,50 @@ def test_folds_hold_groups_together(spark):
     assert df.count() == 50
     pops = {r[0]: r[1] for r in spark.range(20000).groupBy(learn.population(F.col("id"))).count().collect()}
     assert abs(pops["ranker"] / 20000 - 0.3) < 0.02 and abs(pops["audit"] / 20000 - 0.1) < 0.02
+
+
+def test_house_features(spark):
+    rows = [("12", ["12", "7"], "12"), ("123", ["13"], ""), ("5", [], "5")]
+    df = spark.createDataFrame(rows, "h string, ns array<string>, t string")
+    got = df.select(*[v.alias(k) for k, v in sim.house_features(F.col("h"), F.array("h"), F.col("ns"), F.col("t")).items()]).collect()
+    assert tuple(got[0])[:2] == (1.0, 1) and got[0].house_first == 1 and got[0].house_diff == 0
+    assert (got[1].house_drop, got[1].house_first, got[1].house_eq) == (1, -1, 0)
+    assert set(tuple(got[2])) == {-1.0, -1}
+
+
+@pytest.mark.parametrize("raw,want", [("012 bis, rue de la Paix", "12|paix"), ("7 av. des Lilas", "7|lilas"), ("Main Street 4", None), (None, None)])
+def test_street_key(spark, raw, want):
+    assert one(spark, raw, tx.street_key) == want
+
+
+def test_auc_and_log_loss(spark):
+    r = np.random.default_rng(3)
+    p, y = np.round(r.random(300), 2), r.integers(0, 2, 300)
+    got = learn.auc_log_loss(spark.createDataFrame(list(zip(p.tolist(), y.tolist(), strict=True)), "p double, y int")).first()
+    pairs = [(a > b) + (a == b) / 2 for a in p[y == 1] for b in p[y == 0]]
+    q = np.clip(p, 1e-15, 1 - 1e-15)
+    assert abs(got.auc - np.mean(pairs)) < 1e-9
+    assert abs(got.log_loss + np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))) < 1e-9
+
+
+def test_second_stage_context_counts_outsiders(spark):
+    p = spark.createDataFrame([(1, 10, 0.9), (2, 10, 0.6), (1, 11, 0.2)], "s1_id long, cand_id long, p double")
+    x = spark.createDataFrame([(10, 0.7)], "cand_id long, p double")
+    got = {(r.s1_id, r.cand_id): (r.p1_rank_c, r.n_conf_c, r.p1_rank_s1) for r in ranking.second_stage_context(p, x).collect()}
+    assert got == {(1, 10): (1, 2, 1), (2, 10): (3, 2, 1), (1, 11): (1, 0, 2)}
+
+
+def test_checked_write_refuses(spark, tmp_path):
+    owners = spark.createDataFrame([("S1-1",), ("S1-2",)], "s1_id string")
+    known = spark.createDataFrame([("S2-1",)], "id string")
+    whole = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "")], "s1_id string, ids string")
+    assert evaluate.checked_write(whole, str(tmp_path / "a"), owners, known).count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        evaluate.checked_write(whole.limit(1), str(tmp_path / "b"), owners, known)
+
+
+def test_admin_vocabulary(spark):
+    ours = spark.createDataFrame([("us", ["main st", "texas"])] * 3, "ctry string, comps array<string>")
+    theirs = spark.createDataFrame([("us", ["main st", "tx"])] * 4 + [("us", ["main st", "99"])] * 4, "ctry string, comps array<string>")
+    got = {tuple(r) for r in blocking.admin_vocabulary(theirs, ours, 3, 4).collect()}
+    assert got == {("us", "texas", "state"), ("us", "tx", "noise"), ("us", "tx", "alias")}
