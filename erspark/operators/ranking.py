@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +59,29 @@ def one_owner(df: DataFrame, p: str = "p", tie: str | None = "rk", slack: float
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def counts_up_to(per: DataFrame, c: str, steps: int = 512) -> DataFrame:
+    """per (one row per value of c, with _n) with _to: the sum of _n over values
+    up to its own.  Sums run within steps of about equally many values and over
+    the steps, so the values need not meet in one task."""
+    keyed = per.withColumn("_d", F.col(c).cast("double"))
+    cuts = keyed.approxQuantile("_d", [i / steps for i in range(1, steps)], 0.25 / steps)
+    # any cuts give the same sums
+    splits = [-math.inf, *(sorted({x for x in cuts if math.isfinite(x)}) or [0.0]), math.inf]
+    stepped = Bucketizer(splits=splits, inputCol="_d", outputCol="_step", handleInvalid="keep").transform(keyed)
+    before = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as steps
+    base = stepped.groupBy("_step").agg(F.sum("_n").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    within = F.sum("_n").over(Window.partitionBy("_step").orderBy(c))
+    return stepped.withColumn("_to", within).join(base.select("_step", "_base"), "_step").withColumn("_to", F.col("_to") + F.col("_base")).drop("_d", "_step", "_base")
+
+
 def rank_average(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Mean of two scores' percentile ranks; ties share the middle rank.  Ranks
-    come from counts per value, so no row set meets in one task."""
+    come from counts per value, so no row set meets in one task.  Rows that lack
+    a score have no rank and are left out."""
     out = df
     for c in (a, b):
-        per = df.groupBy(c).agg(F.count("*").alias("_n"))
-        ordered = per.withColumn("_to", F.sum("_n").over(Window.orderBy(c)))
+        ordered = counts_up_to(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")), c)
         out = out.join(ordered.select(c, (F.col("_to") - (F.col("_n") - 1) / 2).alias(f"_r_{c}")), c)
     return out.withColumn(name, (F.col(f"_r_{a}") + F.col(f"_r_{b}")) / 2).drop(f"_r_{a}", f"_r_{b}")
 

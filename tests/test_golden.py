@@ -3,6 +3,7 @@
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,15 @@ def test_admin_vocabulary(spark):
     theirs = spark.createDataFrame([("us", ["main st", "tx"])] * 4 + [("us", ["main st", "99"])] * 4, "ctry string, comps array<string>")
     got = {tuple(r) for r in blocking.admin_vocabulary(theirs, ours, 3, 4).collect()}
     assert got == {("us", "texas", "state"), ("us", "tx", "noise"), ("us", "tx", "alias")}
+
+
+def test_rank_average_equals_average_ranks(spark):
+    rng = np.random.default_rng(4)
+    df = pd.DataFrame({"i": np.arange(3000), "a": rng.integers(0, 40, 3000), "b": np.round(rng.normal(size=3000), 3)})
+    df.loc[0, "b"], df.loc[1, "b"] = np.inf, -np.inf
+    want = (df.a.rank() + df.b.rank()) / 2
+    got = ranking.rank_average(spark.createDataFrame(df), "a", "b", "m").toPandas().set_index("i").m.sort_index()
+    assert np.allclose(got, want)
+    some = ranking.rank_average(spark.createDataFrame([(1, 2.0), (None, 3.0), (4, None)], "a int, b double"), "a", "b", "m").collect()
+    assert [(r.a, r.m) for r in some] == [(1, 1.0)]
+    assert ranking.rank_average(spark.createDataFrame([], "a int, b double"), "a", "b", "m").count() == 0
