@@ -2,11 +2,11 @@
 
 A source of weight w gets its j-th block (from 0) released at floor(j / w) and
 due at ceil((j + 1) / w).  Earliest deadline first, one block a slot, keeps each
-source less than one block from its share at every slot.  Weights are whole
-shares of a period, so the schedule repeats: one period is worked out (its
-length is a parameter), and a document finds its slot from its rank within its
-source.  Ranks come from counts by (source, bucket): no source is gathered in a
-task, however hot it is.
+source less than one block from its share at every slot.  Weights are exact
+fractions, and the blocks that the sources really have are scheduled: one heap
+step a block on the driver, written in pieces.  A document finds its block from
+its rank within its source.  Ranks come from counts by (source, bucket): no
+source is gathered in a task, however hot it is.
 
 A source that runs out leaves its later slots empty; the others go on in their
 proportions and nothing is dropped or repeated.  position orders all rows.
@@ -20,15 +20,21 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
+import uuid
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, shared_dir
 
 #: Sources that a mixture may name.
 MAX_SOURCES = 100_000
+#: Blocks of the schedule that the driver holds at a time; a shorter one is broadcast.
+PIECE = 100_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -50,25 +56,47 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period by earliest deadline first: (source, block, slot, release,
-    deadline), blocks numbered from 0 within the period."""
-    period = sum(share.values())
-    release = lambda s, j: j * period // share[s]
-    deadline = lambda s, j: -(-(j + 1) * period // share[s])
-    waiting = sorted((0, s, 0) for s in share)
-    ready: list[tuple[int, Fraction, str, int]] = []
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(period):
+def timetable(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """So many blocks of each source by earliest deadline first, from exact
+    weights: (source, block, slot, release, deadline) in order of slots."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be above zero")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[w.denominator for w in exact.values()])
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    total = sum(whole.values())
+    waiting = sorted((0, s, 0) for s, n in blocks.items() if n > 0)
+    ready: list[tuple[int, int, str, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, j), -Fraction(share[s], period), s, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // whole[s]), -whole[s], s, j))
         due, _, s, j = heapq.heappop(ready)
-        out.append((s, j, slot, release(s, j), due))
-        if j + 1 < share[s]:
-            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
-    return out
+        yield s, j, slot, j * total // whole[s], due
+        slot += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * total // whole[s], s, j + 1))
+
+
+def schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """One period of whole shares: (source, block, slot, release, deadline)."""
+    return list(timetable(share, share))
+
+
+def schedule_table(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int], names: str) -> DataFrame:
+    """timetable() as a table with columns of these names and types."""
+    rows = timetable(weights, blocks)
+    first = list(islice(rows, PIECE))
+    if len(first) < PIECE:
+        return F.broadcast(spark.createDataFrame(first, names))
+    path = f"{shared_dir(spark)}/erspark-timetable-{uuid.uuid4().hex}"
+    while first:
+        spark.createDataFrame(first, names).write.mode("append").parquet(path)
+        first = list(islice(rows, PIECE))
+    return spark.read.schema(names).parquet(path)
 
 
 def default_weights(counts: dict[str, int]) -> dict[str, float]:
@@ -77,7 +105,8 @@ def default_weights(counts: dict[str, int]) -> dict[str, float]:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id_col: str = "doc_id", block: int = 16, period: int = 1000, buckets: int = 1024, seed: int = 7) -> DataFrame:
-    """docs with _mix: struct(block, release, deadline, slot, position), longs."""
+    """docs with _mix: struct(block, release, deadline, slot, position), longs.
+    period is kept for callers: weights are exact, so nothing depends on it."""
     spark = docs.sparkSession
     key, bucket = fresh(docs, "_src"), fresh(docs, "_bucket")
     named = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\0"))
@@ -94,28 +123,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     else:
         given = {("\0" if s is None else str(s)): float(w) for s, w in weights.items()}
         given |= {s: min(given.values(), default=1.0) for s in counts if s not in given}
-    share = shares(given, period) if given else {}
-    table = spark.createDataFrame(schedule(share), f"{key} string, _j int, _slot long, _release long, _due long")
-    per = spark.createDataFrame([(s, n) for s, n in share.items()], f"{key} string, _share long")
+    table = schedule_table(spark, given, {s: -(-n // block) for s, n in counts.items()}, f"{key} string, _block long, _slot long, _release long, _due long")
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # rows of a group here: buckets
-    bases = sizes.select(key, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")).join(F.broadcast(per), key)
+    bases = sizes.select(key, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy(key, bucket).orderBy(order, F.col(f"`{id_col}`"))
-    length = sum(share.values()) or 1
     ranked = (
         keyed.withColumn("_r", F.row_number().over(within) - 1)
         .join(bases, [key, bucket])
         .withColumn("_r", F.col("_r") + F.col("_base"))
         .withColumn("_block", F.floor(F.col("_r") / block))
-        .withColumn("_turn", F.floor(F.col("_block") / F.col("_share")))
-        .withColumn("_j", (F.col("_block") - F.col("_turn") * F.col("_share")).cast("int"))
     )
-    # as many rows as the period, a parameter
-    out = ranked.join(F.broadcast(table), [key, "_j"])
-    at = lambda c: (F.col(c) + F.col("_turn") * length)
+    out = ranked.join(table, [key, "_block"])
     spot = F.struct(
-        F.col("_block").alias("block"), at("_release").alias("release"), at("_due").alias("deadline"), at("_slot").alias("slot"),
-        (at("_slot") * block + F.pmod(F.col("_r"), F.lit(block))).alias("position"),
+        F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_due").alias("deadline"), F.col("_slot").alias("slot"),
+        (F.col("_slot") * block + F.pmod(F.col("_r"), F.lit(block))).alias("position"),
     )
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], spot.alias("_mix"))
 

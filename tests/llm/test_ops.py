@@ -343,3 +343,21 @@ def test_word_tokenizer_equals_the_file():
     own, fast = Tokenizer.from_file(path), packing.WordTokenizer(path)
     for s in ("Hello, World! it's 42x's", "ÉTÉ ét Straße ΣΑΣ  x y", "a<|endoftext|>b", "don't we'll I'd", "\u0000\u0007 ​z", "日本 語テスト", "İstanbul ǅ ﬁ", "x" * 300, "…“q”—r 👍🏽 n°5", "", "A.B. c-d_e f/g"):
         assert np.frombuffer(fast.ids(s.encode()), "<u4").tolist() == own.encode(s, add_special_tokens=False).ids, s
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 1, "b": 1, "c": 1e-3 / 7}])
+def test_mix_keeps_exact_weights(spark, weights, monkeypatch):
+    df = spark.range(9000).selectExpr("id as doc_id", "element_at(array('a', 'b', 'c'), cast(id % 3 + 1 as int)) as source").where("source <> 'c' or doc_id < 3000")
+    total = sum(weights.values())
+    for piece in (100_000, 3000):  # broadcast and written in pieces
+        monkeypatch.setattr(mixing, "PIECE", piece)
+        out = mixing.mix(df, weights=weights, block=1).select("source", "_mix.*").collect()
+        assert len(out) == 7000 and len({r.slot for r in out}) == 7000
+        for r in out:
+            share = weights[r.source] / total
+            assert r.release <= r.slot < r.deadline
+            assert -1e-6 < r.block - r.release * share < 1 and -1e-6 < r.deadline * share - (r.block + 1) < 1
+    many = {f"s{i}": 1.0 + 9 * (i < 10) for i in range(1200)}
+    slots = list(mixing.timetable(many, dict.fromkeys(many, 20)))
+    heads = sum(s in list(many)[:10] for s, _, slot, _, _ in slots if slot < 2580)
+    assert len(slots) == 24_000 and heads == 200
