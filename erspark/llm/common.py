@@ -16,11 +16,15 @@ SLICE_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a
-    temporary one only where the session names none, as in local tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share (spark.checkpoint.dir).  A
+    local master without that setting gets a temporary one, as in tests; a
+    cluster without it is refused, since its machines share no such folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="erspark-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="erspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -30,6 +34,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     there, a lost executor costs no recomputation, and sizes are known."""
     path = f"{shared_dir(df.sparkSession)}/erspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffles behind df are garbage now; Spark deletes their files when the JVM finds them so
+    df.sparkSession._jvm.java.lang.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._erspark_path = path
     return out
@@ -64,7 +70,7 @@ def map_texts(
     """Run work(list of whole UTF-8 texts, one list per column of cols) over
     slices of rows; it returns the lists of the output columns.  Null texts are
     empty bytes."""
-    source = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("string").alias("_text_"))
+    source = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("string"))
     target = source.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
