@@ -29,14 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends
-    there, a lost executor costs no recomputation, and sizes are known."""
-    path = f"{shared_dir(df.sparkSession)}/erspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the shuffles behind df are garbage now; Spark deletes their files when the JVM finds them so
-    df.sparkSession._jvm.java.lang.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    there, a lost executor costs no recomputation, and sizes are known.  What was
+    shuffled for it goes once it is written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/erspark-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._erspark_path = path
     return out
 
@@ -70,7 +78,7 @@ def map_texts(
     """Run work(list of whole UTF-8 texts, one list per column of cols) over
     slices of rows; it returns the lists of the output columns.  Null texts are
     empty bytes."""
-    source = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("string"))
+    source = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("string").alias(fresh(df, "_text")))
     target = source.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
