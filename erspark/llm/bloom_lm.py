@@ -1,19 +1,27 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Tokens are lower-cased words, then one end per text.  Words frequent enough to
-be among at most vocabulary_size (count >= N / vocabulary_size, which so many
-can reach at most) form the vocabulary; others share a class.  A log-frequency
-Bloom filter stores each bigram of classes with its quantised count q = 1 +
-floor(log_base c) as the q entries (bigram, 1) ... (bigram, q).  A probe asks
-for 1, 2, ... until an entry is missing: that q gives the count back.  The
-filter's bits follow the number of entries; it is cut into shards of a fixed
-size and each is a broadcast of its own, so no broadcast grows with the corpus.
-
-score: sum of log10 P(w | v), P = 0.7 bigram + 0.3 unigram over classes, times
-(c + 1) / (mass + types + 1) within the class of rare words.
-
-Exact counts of rare tokens come from a shuffle, not from a broadcast: each
-scan partition asks for its distinct tokens and is answered with their counts.
+Tokens are lower-cased words, then one end per text.  Counts of single tokens,
+of pairs and of triples come from all training rows; nothing is cut but triples
+that occur once (least_count), so the model grows with the corpus.
+A log-frequency Bloom filter stores each n-gram with its quantised count q = 1 +
+floor(log_base c) as the q entries (n-gram, 1) ... (n-gram, q).  A probe asks for
+1, 2, ... until an entry is missing: that q gives the count back.
+
+Texts are read in blocks of about a million words.  A block sends each bucket of
+hashes one compressed row with its distinct n-grams and their counts.  A bucket
+adds up, fills its shard of the filter, and answers each block with the exact
+counts of its tokens; the block's own postings wait for them under the block's
+key.  So nothing gathers by token or by partition: a group is a bucket (its
+share of the distinct n-grams) or a block.  Shards are broadcast in groups of at
+most GROUP_BYTES, so no broadcast grows with the corpus, only their number.
+
+score: sum of log10 P(w | u, v); P is a weighted mean of triple, pair and
+add-one single estimates, all of them probes.  The weights depend on how often
+the context was seen and come from a pass over all training rows: the share of
+tokens that the longer order foretells best with the token itself not counted.
+A text comes from that model or from single tokens alone with equal chance, so
+one without familiar n-grams loses next to nothing.  base_score uses exact
+counts.
 
 Cases: a null text is empty (its only token is the end); a null doc_id counts
 as the empty text in the hold-out rule; repeated rows are counted and scored as
@@ -23,27 +31,31 @@ often as they occur; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chaining import pack, unpack
 from .common import materialize
 
 END = b""
 HASHES = 3
-#: Bits of one shard of the filter: 8 MB.
-SHARD_BITS = 1 << 26
-KEY = "k1 long, k2 int"
+#: Words of a block, words of a bucket, bytes of a broadcast, texts scored at a time.
+BLOCK_WORDS, BUCKET_WORDS, GROUP_BYTES, SLICE = 1 << 20, 3 << 19, 1 << 26, 512
+#: Levels of a context that have weights of their own; the most that an order weighs.
+LEVELS, TOP_WEIGHT = 64, 0.99
+TOKENS, PAIRS, TRIPLES, POSTINGS, ANSWER, SHARD, STATS = range(7)
+ROW = "bucket int, block long, kind int, body binary"
 
 
 def keys_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """96 bits of XXH3-128 for each token."""
     raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in tokens]), "<u8").reshape(-1, 2)
-    return raw[:, 0].view(np.int64), raw[:, 1].astype(np.uint32).view(np.int32)
+    return raw[:, 0].copy(), raw[:, 1].astype(np.uint32)
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -60,36 +72,61 @@ def levels(c: np.ndarray, base: float) -> np.ndarray:
 
 
 def value(q: np.ndarray, base: float) -> np.ndarray:
-    """The count that a level stands for: 0, or the middle of its range."""
-    return np.where(q > 0, (base ** (q - 1) + base**q - 1) / 2, 0.0)
+    """The count that a level stands for: 0, or the middle of its whole numbers."""
+    low, high = np.ceil(base ** (q - 1) - 1e-9), np.ceil(base**q - 1e-9) - 1
+    return np.where(q > 0, (low + np.maximum(low, high)) / 2, 0.0)
+
 
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    return ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-def positions(gram: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """Bits of (gram, level) within the shard of gram."""
-    return [(mixed(gram, 17 + level * HASHES + i) % np.uint64(bits)).astype(np.int64) for i in range(HASHES)]
 
+def shard(gram: np.ndarray, q: np.ndarray, bits_per_entry: float) -> np.ndarray:
+    """The bytes of a filter with entries (gram, 1) ... (gram, q)."""
+    bits = max(1024, int(q.sum() * bits_per_entry) // 8 * 8)
+    table = np.zeros(bits, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        some = gram[q >= level]
+        for i in range(HASHES):
+            table[mixed(some, 17 + level * HASHES + i) % np.uint64(bits)] = True
+    return np.packbits(table, bitorder="little")
 
-def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
-    return (mixed(gram, 5) % np.uint64(shards)).astype(np.int64)
 
+class Shards:
+    """A group of shards that lie in one array: buckets first, first + 1, ..."""
 
-def probe(gram: np.ndarray, filters, bits: int, top: int) -> np.ndarray:
-    """The level of each gram.  filters: one callable per shard that gives its
-    bytes; one shard is held at a time."""
-    out, own = np.zeros(len(gram), np.int64), shard_of(gram, len(filters))
-    for s, load in enumerate(filters):
-        alive = np.flatnonzero(own == s) if len(filters) > 1 else np.arange(len(gram))
-        if not len(alive):
-            continue
-        table = load()
-        for level in range(1, top + 1):
+    def __init__(self, first: int, tables: list[np.ndarray]):
+        self.first, self.bytes = first, np.concatenate(tables)
+        sizes = np.array([len(t) for t in tables], np.int64)
+        self.bits, self.begin = (sizes * 8).astype(np.uint64), (np.cumsum(sizes) - sizes) * 8
+
+    def levels(self, gram: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        own = bucket - self.first
+        out, alive, level = np.zeros(len(gram), np.int64), np.arange(len(gram)), 0
+        while len(alive):
+            level += 1
+            g, b = gram[alive], own[alive]
             hit = np.ones(len(alive), bool)
-            for at in positions(gram[alive], level, bits):
-                hit &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            for i in range(HASHES):
+                at = self.begin[b] + (mixed(g, 17 + level * HASHES + i) % self.bits[b]).astype(np.int64)
+                hit &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             alive = alive[hit]
-            if not len(alive):
-                break
             out[alive] = level
+            if level >= 400:  # a full shard would answer yes for ever
+                break
+        return out
+
+
+def probe(gram: np.ndarray, groups: list, buckets: int) -> np.ndarray:
+    """The level of each gram.  groups: (first bucket, callable that gives its
+    Shards), by first bucket; one group is held at a time."""
+    bucket = bucket_of(gram, buckets)
+    which = np.searchsorted([g[0] for g in groups], bucket, side="right") - 1
+    out = np.zeros(len(gram), np.int64)
+    for k, (_, load) in enumerate(groups):
+        some = np.flatnonzero(which == k) if len(groups) > 1 else np.arange(len(gram))
+        if len(some):
+            out[some] = load().levels(gram[some], bucket[some])
     return out
 
 
@@ -99,188 +136,260 @@ def words(raw: bytes) -> list[bytes]:
     return out
 
 
-def gram_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), 3)
-
-
-def partition_counts(docs: DataFrame) -> DataFrame:
-    """(part, k1, k2, c) for every token of a scan partition, c its count in
-    training rows.  docs: _train, text."""
-    schema = pa.schema([("part", pa.int32()), ("k1", pa.int64()), ("k2", pa.int32()), ("c", pa.int64())])
-
-    def emit(part, train, other):
-        for t in other:
-            train.setdefault(t, 0)
-        tokens = list(train)
-        for i in range(0, len(tokens), 100_000):
-            some = tokens[i : i + 100_000]
-            k1, k2 = keys_of(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int32)), pa.array(k1), pa.array(k2), pa.array([train[t] for t in some], pa.int64())], schema=schema)
+def grams_of(k: np.ndarray, begins: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pair and the triple that end at each token of texts laid end to end
+    (begins: their first tokens); start stands before a text."""
+    x, y = np.empty_like(k), np.empty_like(k)
+    x[1:] = k[:-1]
+    x[begins] = start
+    y[1:] = x[:-1]
+    y[begins] = start
+    pair = mixed(x * np.uint64(3) + mixed(k, 1), 2)
+    return pair, mixed(y * np.uint64(5) + pair, 4)
+
+
+def block_rows(buckets: int):
+    """mapInArrow: (row key, is training, text) to ROW: what a block sends."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+    start = int(keys_of([END])[0][0])
+
+    def row(bucket: int, block: int, kind: int, *cols):
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([pack(*cols)], pa.binary())], schema=schema)
+
+    def flush(block: int, known: dict, ids: list, train: list, keys: list):
+        k1, k2 = keys_of(list(known))
+        order = np.lexsort((k2, k1))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        k1, k2 = k1[order], k2[order]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        flat = rank[np.concatenate(ids)]
+        train = np.array(train, bool)
+        learnt = np.repeat(train, lengths)
+        count = np.bincount(flat[learnt], minlength=len(k1))
+        cut = np.searchsorted(bucket_of(k1, buckets), np.arange(buckets + 1)).tolist()
+        for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+            if j > i:
+                yield row(b, block, TOKENS, np.diff(k1[i:j], prepend=np.uint64(0)), k2[i:j], count[i:j])
+        # the n-grams of training rows
+        own = lengths[train]
+        pair, triple = grams_of(k1[flat[learnt]], np.cumsum(own) - own, start)
+        for kind, every in ((PAIRS, pair), (TRIPLES, triple)):
+            grams, n = np.unique(every, return_counts=True)
+            cut = np.searchsorted(bucket_of(grams, buckets), np.arange(buckets + 1)).tolist()
+            for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+                if j > i:
+                    yield row(b, block, kind, np.diff(grams[i:j], prepend=np.uint64(0)), n[i:j].astype(np.int32))
+        # token by token: documents and how often; the bucket is any
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        spot, tf = np.unique(flat * len(ids) + doc, return_counts=True)
+        held = np.bincount(spot // len(ids), minlength=len(k1))
+        yield row(block % buckets, block, POSTINGS, held.astype(np.int32), (spot % len(ids)).astype(np.int32), tf.astype(np.int32), np.array(keys, np.int64), lengths)
 
     def run(batches):
-        part, train, other = None, Counter(), set()
-        for b in batches:
-            part = b.column(0)[0].as_py() if b.num_rows else part
-            for is_train, t in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                w = words(t or b"")
-                if is_train:
-                    train.update(w)
-                else:
-                    other.update(w)
-                if len(train) + len(other) > 2_000_000:
-                    yield from emit(part, train, other)
-                    train, other = Counter(), set()
-        if train or other:
-            yield from emit(part, train, other)
-
-    return docs.select("part", "_train", "text").mapInArrow(run, "part int, k1 long, k2 int, c long")
-
-
-def build_filter(grams: DataFrame, base: float, bits_per_entry: float) -> tuple[list, int, int]:
-    """Broadcast shards of the filter, bits of a shard, highest level."""
-    level = F.expr(f"1 + cast(floor(ln(c) / {math.log(base)}D + 1e-9D) as bigint)")
-    stored = grams.withColumn("q", level)
-    entries, top = stored.agg(F.sum("q"), F.max("q")).first()
-    need = max(1024, int((entries or 0) * bits_per_entry))
-    shards = -(-need // SHARD_BITS)
-    bits = -(-need // shards // 8) * 8 + 8
-    block = 1 << 19
-
-    def place(batches):
+        known: dict[bytes, int] = {}
+        ids, train, keys, size, seq = [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
         for b in batches:
-            g, q = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            own = shard_of(g, shards)
-            at = []
-            for lv in range(1, int(q.max(initial=0)) + 1):
-                some = q >= lv
-                at += [own[some] * bits + p for p in positions(g[some], lv, bits)]
-            at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
-            for i in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000] // bits), pa.array(at[i : i + 100_000] % bits // block), pa.array(at[i : i + 100_000] % bits)], names=["s", "b", "at"])
-
-    def gather(key: tuple, t: pa.Table) -> pa.Table:
-        table = np.zeros(block // 8, np.uint8)
-        at = np.unique(t["at"].to_numpy()) % block
-        np.bitwise_or.at(table, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        return pa.table({"s": [key[0].as_py()], "b": [key[1].as_py()], "x": pa.array([table.tobytes()], pa.binary())})
-
-    blocks = stored.select("gram", "q").mapInArrow(place, "s long, b long, at long").groupBy("s", "b").applyInArrow(gather, "s long, b long, x binary")
-    blocks = materialize(blocks, "bloom")
-    sc, out = grams.sparkSession.sparkContext, []
-    for s in range(shards):  # one shard, of a fixed size, at a time
-        table = np.zeros(-(-bits // block) * block // 8, np.uint8)
-        for r in blocks.where(F.col("s") == s).toLocalIterator():
-            table[r["b"] * block // 8 : (r["b"] + 1) * block // 8] = np.frombuffer(r["x"], np.uint8)
-        out.append(sc.broadcast(table))
-    return out, bits, int(top or 0)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary_size: int = 100_000, base: float = 1.5, bits_per_entry: float = 8.0) -> DataFrame:
-    """One row per document: token counts, base_score and score."""
-    spark = docs.sparkSession
+            for i in range(0, b.num_rows, 64):
+                s = b.slice(i, 64)
+                for k, learn, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), s.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    w = words(t or b"")
+                    ids.append(np.array([known.setdefault(x, len(known)) for x in w], np.int64))
+                    train.append(learn)
+                    keys.append(k)
+                    size += len(w)
+                    if size >= BLOCK_WORDS:
+                        yield from flush(part << 32 | seq, known, ids, train, keys)
+                        known, ids, train, keys, size, seq = {}, [], [], [], 0, seq + 1
+        if ids:
+            yield from flush(part << 32 | seq, known, ids, train, keys)
+
+    return run
+
+
+def add_up(base: float, bits_per_entry: float, least_count: int):
+    """applyInArrow over a bucket's rows: exact counts back to each block, the
+    bucket's shard, and (tokens, types, entries)."""
+
+    def work(t: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        bucket = t["bucket"][0].as_py()
+        tokens, grams = [], {PAIRS: [], TRIPLES: []}
+        for block, kind, body in zip(t["block"].to_pylist(), t["kind"].to_pylist(), t["body"].to_pylist(), strict=True):
+            if kind == POSTINGS:
+                out.append((-1, block, POSTINGS, body))
+            elif kind == TOKENS:
+                d, k2, n = unpack(body)
+                tokens.append((block, np.cumsum(d), k2, n))
+            else:
+                d, n = unpack(body)
+                grams[kind].append((np.cumsum(d), n))
+        gram, q = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if tokens:
+            k1, k2, n = (np.concatenate([x[i] for x in tokens]) for i in (1, 2, 3))
+            order = np.lexsort((k2, k1))
+            a, b = k1[order], k2[order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            group = np.cumsum(new) - 1
+            total = np.bincount(group, n[order]).astype(np.int64)
+            back = np.empty(len(order), np.int64)
+            back[order] = total[group]
+            at = 0
+            for block, x, _, _ in tokens:
+                out.append((bucket, block, ANSWER, pack(back[at : at + len(x)])))
+                at += len(x)
+            some = total > 0
+            gram, q = a[new][some], levels(total[some], base)
+            out.append((bucket, -1, STATS, pack(np.array([total.sum(), some.sum()], np.int64))))
+        for kind, least in ((PAIRS, 1), (TRIPLES, least_count)):
+            if grams[kind]:
+                g, n = (np.concatenate([x[i] for x in grams[kind]]) for i in (0, 1))
+                order = np.argsort(g, kind="stable")
+                g, n = g[order], n[order]
+                first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+                n, g = np.add.reduceat(n.astype(np.int64), first), g[first]
+                some = n >= least
+                gram, q = np.concatenate([gram, g[some]]), np.concatenate([q, levels(n[some], base)])
+        if tokens or any(grams.values()):
+            out.append((bucket, -1, SHARD, shard(gram, q, bits_per_entry).tobytes()))
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({n.split()[0]: pa.array([o[i] for o in out], x) for i, (n, x) in enumerate(zip(ROW.split(", "), types, strict=True))})
+
+    return work
+
+
+def base_sums(t: pa.Table) -> pa.Table:
+    """applyInArrow over a block's rows: exact sums of each of its texts."""
+    rows = sorted(zip(t["kind"].to_pylist(), t["bucket"].to_pylist(), t["body"].to_pylist(), strict=True), key=lambda x: x[:2])
+    held, doc, tf, keys, lengths = unpack(rows[0][2])
+    c = np.concatenate([unpack(r[2])[0] for r in rows[1:]])
+    c = np.repeat(c, held)
+    logs = np.bincount(doc, tf * np.log10(c + 1.0), minlength=len(keys))
+    known = np.bincount(doc, tf * (c > 0), minlength=len(keys)).astype(np.int64)
+    return pa.table({"k": keys, "n_tokens": lengths, "n_known": known, "logs": logs})
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base: float = 1.5, bits_per_entry: float = 8.0, least_count: int = 2) -> DataFrame:
+    """One row per document: token counts, base_score and score.  least_count:
+    triples below it are left out, at any size of the corpus."""
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     remainder = F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 7
-    rows = docs.select(F.spark_partition_id().alias("part"), F.col(f"`{id_col}`").alias("_id"), (remainder != 2).alias("_train"), F.col(f"`{text}`").cast("string").alias("text"))
-    totals = partition_counts(rows).groupBy("k1", "k2").agg(F.sum("c").alias("c"), F.collect_list("part").alias("parts"))
-    totals = materialize(totals, "tokens")
-    n, v = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    # at most vocabulary_size tokens reach this count
-    least = max(2, -(-n // vocabulary_size))
-    common = totals.where(F.col("c") >= least).select("k1", "k2", "c").toPandas().sort_values(["k1", "k2"])
-    rare_mass, rare_types = n - int(common.c.sum()), v - len(common)
-    # words of the vocabulary by key: 0 is the rare class
-    by_key = {(a, b): i + 1 for i, (a, b) in enumerate(zip(common.k1.tolist(), common.k2.tolist(), strict=True))}
-    end = tuple(int(x[0]) for x in keys_of([END]))
-    counts = np.array([rare_mass, *common.c.tolist()], np.float64)
-    start = by_key.get(end, 0)
-    lookup = spark.sparkContext.broadcast((by_key, start))
-    grams = materialize(class_bigrams(rows, lookup), "bigrams")
-    shards, bits, top = build_filter(grams, base, bits_per_entry)
-    unigram = spark.sparkContext.broadcast(counts)
-
-    def loader(bc):
-        def load():
-            table = bc.value
-            if len(shards) > 1:
-                bc.__dict__.pop("_value", None)
-            return table
-
-        return load
-
-    def answer(d: pa.Table, t: pa.Table) -> pa.Table:
-        by_key, start = lookup.value
-        uni = unigram.value
-        order = np.lexsort((t["k2"].to_numpy(), t["k1"].to_numpy()))
-        k1, k2, cs = (t[c].to_numpy()[order] for c in ("k1", "k2", "c"))
-        filters = [loader(s) for s in shards]
-        out: list[list] = [[] for _ in range(6)]
-        for i in range(0, d.num_rows, 1024):
-            part = d.slice(i, 1024)
-            docs_words = [words(x or b"") for x in part["text"].combine_chunks().cast(pa.binary()).to_pylist()]
-            distinct = {}
-            flat = np.array([distinct.setdefault(w, len(distinct)) for ws in docs_words for w in ws], np.int64)
-            a, b = keys_of(list(distinct))
-            at = find(k1, k2, a, b)
-            c = cs[at].astype(np.float64)
-            cls = np.array([by_key.get(k, 0) for k in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-            lengths = np.array([len(ws) for ws in docs_words])
-            ends = np.cumsum(lengths)
-            begins = ends - lengths
-            x = cls[flat]
-            prev = np.empty_like(x)
-            prev[1:] = x[:-1]
-            prev[begins] = start
-            g, back = np.unique(gram_of(prev, x), return_inverse=True)
-            pair = value(probe(g, filters, bits, top), base)[back]
-            # the filter may overstate, so a share never exceeds its context's whole
-            share = np.minimum(pair, uni[prev]) / np.maximum(uni[prev], 1.0)
-            p = 0.7 * share + 0.3 * (uni[x] + 1) / (n + len(uni) + 1)
-            inside = np.where(x == 0, (c[flat] + 1) / (rare_mass + rare_types + 1), 1.0)
-            model = np.log10(p) + np.log10(inside)
-            plain = np.log10((c + 1) / (n + 1 * (v + 1)))[flat]
-            cols = (part["_id"].to_pylist(), [not y for y in part["_train"].to_pylist()], lengths, np.add.reduceat(c[flat] > 0, begins, dtype=np.int64), np.add.reduceat(plain, begins), np.add.reduceat(model, begins))
-            for o, y in zip(out, cols, strict=True):
-                o += list(y)
-        kinds = ("long", "bool", "long", "long", "double", "double")
-        types = {"long": pa.int64(), "bool": pa.bool_(), "double": pa.float64()}
-        ids = pa.array(out[0], d.schema.field("_id").type)
-        return pa.table({k: (ids if k == "_id" else pa.array(o, types[w])) for k, o, w in zip(("_id", "held_out", "n_tokens", "n_known", "base_score", "score"), out, kinds, strict=True)})
-
-    answers = totals.select(F.explode("parts").alias("part"), "k1", "k2", "c")
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(answer, f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def class_bigrams(rows: DataFrame, lookup) -> DataFrame:
-    """(gram, c): bigrams of classes in training rows, each text after an end."""
+    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), body).alias("k"), F.col(f"`{id_col}`").alias("_id"), (remainder != 2).alias("train"), body.alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-size // (6 * BUCKET_WORDS)))
+    sent = rows.select("k", "train", "text").mapInArrow(block_rows(buckets), ROW)
+    done = materialize(sent.groupBy("bucket").applyInArrow(add_up(base, bits_per_entry, least_count), ROW), "counts")
+    # one row a bucket
+    n = v = 0
+    for r in done.where(F.col("kind") == STATS).select("body").toLocalIterator():
+        x = unpack(r[0])[0]
+        n, v = n + int(x[0]), v + int(x[1])
+    groups = broadcasts(done.where(F.col("kind") == SHARD).select("bucket", "body"), buckets)
+    sums = done.where(F.col("kind").isin(POSTINGS, ANSWER)).groupBy("block").applyInArrow(base_sums, "k long, n_tokens long, n_known long, logs double")
+    model = model_scores(rows, groups, buckets, n, v, base, docs.schema[id_col].dataType.simpleString())
+    plain = sums.dropDuplicates(["k"]).withColumn("base_score", F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1)))
+    out = model.join(plain, "k")
+    return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def broadcasts(shards: DataFrame, buckets: int) -> list[tuple[int, object]]:
+    """(first bucket, broadcast Shards) by groups of at most GROUP_BYTES; the
+    driver holds one group at a time."""
+    sc, out, now, first, size = shards.sparkSession.sparkContext, [], [], 0, 0
+    last = -1
+    for r in shards.orderBy("bucket").toLocalIterator():
+        table = np.frombuffer(r["body"], np.uint8)
+        empty = [np.zeros(128, np.uint8)] * (r["bucket"] - last - 1)  # buckets without rows
+        if now and size + len(table) > GROUP_BYTES:
+            out.append((first, sc.broadcast(Shards(first, now))))
+            now, first, size = [], last + 1, 0
+        now += [*empty, table]
+        size += len(table)
+        last = r["bucket"]
+    if now:
+        out.append((first, sc.broadcast(Shards(first, now + [np.zeros(128, np.uint8)] * (buckets - last - 1)))))
+    return out
 
-    def run(batches):
-        by_key, start = lookup.value
+
+def held(bc, alone: bool):
+    """A callable for a broadcast's value, which is let go again where there are
+    several, so that a worker holds one group."""
+
+    def load():
+        x = bc.value
+        if not alone:
+            bc.__dict__.pop("_value", None)
+        return x
+
+    return load
+
+
+def model_scores(rows: DataFrame, groups: list, buckets: int, n: int, v: int, base: float, kind: str) -> DataFrame:
+    """(k, _id, held_out, score) of rows.  One pass over the training rows finds
+    the weights, one pass over all rows scores."""
+    start = int(keys_of([END])[0][0])
+    steps = LEVELS
+
+    def slices(batches, text: int):
+        """(slice, first tokens, levels of c1, c2, c3 and of both contexts)."""
+        filters = [(first, held(bc, len(groups) == 1)) for first, bc in groups]
         known: dict[bytes, int] = {}
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                texts = [words(x or b"") for x in b.column(0).slice(i, 1024).cast(pa.binary()).to_pylist()]
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                texts = [words(x) for x in b.column(text).cast(pa.binary()).to_pylist()]
                 new = list({w for ws in texts for w in ws} - known.keys())
                 if new:
-                    a, c = keys_of(new)
-                    known.update(zip(new, [by_key.get(k, 0) for k in zip(a.tolist(), c.tolist(), strict=True)], strict=True))
-                x = np.array([known[w] for ws in texts for w in ws], np.int64)
+                    known.update(zip(new, keys_of(new)[0].tolist(), strict=True))
+                k = np.array([known[w] for ws in texts for w in ws], np.uint64)
                 lengths = np.array([len(ws) for ws in texts])
                 begins = np.cumsum(lengths) - lengths
-                prev = np.empty_like(x)
-                prev[1:] = x[:-1]
-                prev[begins] = start
-                u, n = np.unique(gram_of(prev, x), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "c"])
+                pair, triple = grams_of(k, begins, start)
+                every, back = np.unique(np.concatenate([k, pair, triple, np.array([start], np.uint64)]), return_inverse=True)
+                q = (probe(every, filters, buckets) if filters else np.zeros(len(every), np.int64))[back]
+                q1, q2, q3 = (q[j * len(k) : (j + 1) * len(k)] for j in range(3))
+                one, two = np.empty_like(q1), np.zeros_like(q2)  # contexts: the token before, the pair before
+                one[1:] = q1[:-1]
+                two[1:] = q2[:-1]
+                one[begins] = q[-1]
+                two[begins] = 0  # a text's first token has no pair before it
+                yield b, begins, q1, q2, q3, np.minimum(one, steps - 1), np.minimum(two, steps - 1)
                 if len(known) > 500_000:
                     known.clear()
 
-    return rows.where("_train").select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    def estimates(q1, q2, q3, one, two, less):
+        """Shares of the three orders, less occurrences taken off every count."""
+        c1, c2, c3, o, t = (np.maximum(value(q, base) - less, 0) for q in (q1, q2, q3, one, two))
+        # the filter may overstate, so a share never exceeds its context's whole
+        return np.minimum(c3, t) / np.maximum(t, 1), np.minimum(c2, o) / np.maximum(o, 1), np.minimum((c1 + 1) / (n + v + 1), 1.0)
+
+    def learn(batches):
+        """Deleted estimates: which order foretells a token best that is not
+        counted itself, by the level of the context."""
+        won = np.zeros((4, steps), np.int64)
+        for _, _, q1, q2, q3, one, two in slices(batches, 0):
+            p3, p2, p1 = estimates(q1, q2, q3, one, two, 1.0)
+            third = p3 > np.maximum(p2, p1)
+            won[0] += np.bincount(two, third, steps).astype(np.int64)
+            won[1] += np.bincount(two, minlength=steps)
+            won[2] += np.bincount(one, p2 > p1, steps).astype(np.int64)
+            won[3] += np.bincount(one, minlength=steps)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * steps)), pa.array(won.ravel())], names=["at", "n"])
+
+    won = np.zeros(4 * steps)
+    for r in rows.where("train").select("text").mapInArrow(learn, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 4 * steps rows
+        won[r["at"]] = r["n"]
+    won = won.reshape(4, steps)
+    w3, w2 = (np.minimum(won[i] / np.maximum(won[i + 1], 1), TOP_WEIGHT) for i in (0, 2))
+    w3[0] = w2[0] = 0.0  # an unknown context says nothing
 
-
-def find(k1: np.ndarray, k2: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows of the sorted keys (k1, k2) that hold (a, b); each is there."""
-    at = np.searchsorted(k1, a)
-    while (off := (k1[at] == a) & (k2[at] != b)).any():
-        at[off] += 1
-    return at
+    def run(batches):
+        for b, begins, q1, q2, q3, one, two in slices(batches, 3):
+            p3, p2, p1 = estimates(q1, q2, q3, one, two, 0.0)
+            p = w3[two] * p3 + (1 - w3[two]) * (w2[one] * p2 + (1 - w2[one]) * p1)
+            mixed_model, single = np.add.reduceat(np.log10(p), begins), np.add.reduceat(np.log10(p1), begins)
+            total = np.maximum(mixed_model, single) + np.log10((1 + 10.0 ** -np.abs(mixed_model - single)) / 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([not x for x in b.column(2).to_pylist()], pa.bool_()), pa.array(total)], names=["k", "_id", "held_out", "score"])
+
+    return rows.mapInArrow(run, f"k long, _id {kind}, held_out boolean, score double")
