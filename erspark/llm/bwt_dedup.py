@@ -16,7 +16,9 @@ No round sorts suffixes anew, and none is longer than a window.
 
 Equal contexts are counted before they are shuffled.  An anchor with more than
 `heavy` different contexts is not gathered in a task: its windows are counted
-by their 128-bit hash instead (the exact way for hot anchors).
+by their 128-bit hash instead (the exact way for hot anchors).  A stretch of
+one short period has an anchor at every period; only those near its ends are
+kept, and the stretch is found from them (see sparse, stretches).
 
 Cases: a null text is empty; texts below size bytes lose nothing; repeated rows
 are copies of one another; a null doc_id is kept; other columns are ignored; an
@@ -38,6 +40,8 @@ from .common import materialize
 
 ANCHOR = 64
 BLOCK = 1 << 22
+#: Contexts that leave a task at a time.
+CONTEXTS = 20_000
 MULT = 0x9E3779B97F4A7C15
 
 
@@ -92,6 +96,45 @@ def anchors(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(hs)[first].view(np.int64)
 
 
+def sparse(at: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """Which anchors of a text to keep.  One anchor again and again at a distance
+    p below its own length means a stretch of period p.  Where that has size + p
+    bytes or more, its windows repeat one another and those near its ends, so the
+    anchors in its middle say nothing more (stretches() finds what it loses)."""
+    keep = np.ones(len(at), bool)
+    gap = np.diff(at)
+    same = (h[1:] == h[:-1]) & (gap < ANCHOR)
+    if not same.any():
+        return keep
+    new = np.r_[True, ~(same[1:] & same[:-1] & (gap[1:] == gap[:-1]))]
+    number = np.cumsum(new)
+    for i in np.flatnonzero(new & same).tolist():
+        j, p = int(np.searchsorted(number, number[i], side="right")), int(gap[i])
+        a, e = int(at[i]), int(at[j]) + ANCHOR
+        if e - a >= size + p:
+            keep[i : j + 1] = (at[i : j + 1] < a + size + p) | (at[i : j + 1] > e - ANCHOR - size - p)
+    return keep
+
+
+def stretches(x: np.ndarray, at: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Runs of x of some period p below the anchor's length and of size + p bytes
+    or more, that begin at an anchor which lies p bytes further once more."""
+    out: list[tuple[int, int]] = []
+    for a, p in zip(at[:-1].tolist(), np.diff(at).tolist(), strict=True):
+        if p >= ANCHOR or (out and a < out[-1][1] - ANCHOR) or (x[a : a + ANCHOR] != x[a + p : a + p + ANCHOR]).any():
+            continue
+        e, step = a + p, 1 << 12
+        while e < len(x):
+            same = x[e : e + step] == x[e - p : min(len(x), e + step) - p]
+            if not same.all():
+                e += int(np.argmin(same))
+                break
+            e, step = e + len(same), 2 * step
+        if e - a >= size + p:
+            out.append((a, e))
+    return out
+
+
 def refine(symbols: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Blocks of the interleave after 0, 1, ... rounds over the columns of
     symbols: row t holds each context's block, -1 once it is alone in it."""
@@ -162,6 +205,8 @@ def repeated_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
                 hs, d1, d2, at = [], [], [], []
                 for x, y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     p, h = anchors(t, size)
+                    keep = sparse(p, h, size)
+                    p, h = p[keep], h[keep]
                     hs.append(h)
                     at.append(p)
                     d1.append(np.full(len(p), x, np.int64))
@@ -185,18 +230,23 @@ def repeated_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
                 for i in range(0, b.num_rows, 64):
                     out: list[list] = [[] for _ in range(6)]
                     for rid, t, copies, at in zip(*[(c.cast(pa.binary()) if c.type == pa.string() else c).to_pylist() for c in b.slice(i, 64).columns], strict=True):
-                        x = np.frombuffer(t, np.uint8)
                         for p in sorted(at):
-                            a, e = max(0, p - reach), min(len(x), p + ANCHOR + reach)
+                            a, e = max(0, p - reach), min(len(t), p + ANCHOR + reach)
                             c = t[a:e]
                             h, key = xxhash.xxh64_intdigest(t[p : p + ANCHOR]), xxhash.xxh3_64_intdigest(c, p - a)
                             for col, v in zip(out, (h, key, c if with_bytes else None, p - a, rid if not with_bytes else copies, p), strict=True):
                                 col.append(v)
-                    h, key = (np.array(out[k], np.uint64).view(np.int64) for k in (0, 1))
-                    if with_bytes:
-                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64())], names=["h", "key", "ctx", "left", "mult"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())], names=["h", "key", "rid", "pos"])
+                            if len(out[0]) >= CONTEXTS:
+                                yield columns(out)
+                                out = [[] for _ in range(6)]
+                    if out[0]:
+                        yield columns(out)
+
+        def columns(out):
+            h, key = (np.array(out[k], np.uint64).view(np.int64) for k in (0, 1))
+            if with_bytes:
+                return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64())], names=["h", "key", "ctx", "left", "mult"])
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())], names=["h", "key", "rid", "pos"])
 
         return run
 
@@ -249,10 +299,11 @@ def repeated_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 out: list[list] = [[] for _ in range(4)]
-                for rid, t, found in zip(*[(c.cast(pa.binary()) if c.type == pa.string() else c).to_pylist() for c in b.slice(i, 64).columns], strict=True):
+                for rid, t, at, found in zip(*[(c.cast(pa.binary()) if c.type == pa.string() else c).to_pylist() for c in b.slice(i, 64).columns], strict=True):
+                    found = [(r["s"], r["e"]) for r in found or ()] + stretches(np.frombuffer(t, np.uint8), np.sort(np.array(at, np.int64)), size)
                     edge = np.zeros(len(t) + 1, np.int32)
-                    np.add.at(edge, [r["s"] for r in found], 1)
-                    np.add.at(edge, [r["e"] for r in found], -1)
+                    np.add.at(edge, [s for s, _ in found], 1)
+                    np.add.at(edge, [e for _, e in found], -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
                     begins = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -260,7 +311,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["rid", "gone", "spans", "kept"])
 
-    done = texts.select("rid", "_t").join(runs, "rid").mapInArrow(cut, "rid long, gone long, spans long, kept string")
+    done = texts.select("rid", "_t", "at").join(runs, "rid", "left").mapInArrow(cut, "rid long, gone long, spans long, kept string")
     per_class = classes.join(done, "rid", "left").drop("rid")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= size)
     return facts.join(per_class, ["d1", "d2"]).select(
