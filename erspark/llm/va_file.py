@@ -1,19 +1,27 @@
 """Exact top-k by inner product with vector-approximation files.
 
 Vectors are integers.  A vector's approximation is the cell of each component
-(width 2**cell_bits), and a query's inner product with any vector of a cell lies
-between bounds that the cell's corner gives.  A scan of the cells finds, for
-each query, which vectors may be among its k best; exact vectors are then read
-in the order of their bounds until the k-th result is certain.
+(width 2**cell_bits, 16 bits a component as a rule); cells are written once.  A
+query's inner product with any vector of a cell lies between bounds that the
+cell's corner gives.
 
-Queries meet vectors in blocks: (vector group, query group) is a task, so no
-side is gathered or broadcast.  Tasks return k rows a query.
+1. Cells meet queries in blocks, (vector group, query group) is a task; a task
+   returns the vectors whose upper bound reaches its k-th best lower bound.
+2. A query's floor is the k-th best lower bound of all groups.
+3. Exact vectors are read in the order of their upper bounds: the first FIRST * k
+   of each query, whose k-th score is the new floor, then just those whose bound
+   still reaches it.  Then the k-th result is certain.
+
+Only cells are replicated over query groups, and only queries over vector
+groups; exact vectors move for survivors.  No query's candidates are gathered.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take
 no part, nor do rows with a null id; only vectors of one length are compared;
 rows of the query's own id are not its candidates; a repeated candidate row is
-returned as often as it occurs, a repeated query row is asked once; ties go to
-the smaller id; empty tables give empty results; other columns are ignored.
+returned as often as it occurs; query rows of one id whose vectors round alike
+are one query; ties go to the smaller id; empty tables give empty results; other
+columns are ignored.  Scores are 64-bit: a pair whose product might not fit is
+refused with an error instead of a wrong score.
 """
 
 from __future__ import annotations
@@ -23,86 +31,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-VECTORS_A_CHUNK, QUERIES_A_CHUNK, READ = 8192, 256, 32
+from .common import materialize
+
+VECTORS_A_CHUNK, QUERIES_A_CHUNK, FIRST = 8192, 256, 4
 
 
 class ApproximationFile:
-    """Cells of a set of integer vectors, and the vectors themselves."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cell_bits: int):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.exact = ids[order], vectors[order]
-        self.width = (1 << cell_bits) - 1
-        self.cells = self.exact >> cell_bits
-        self.bits = cell_bits
-        self.read = 0
-
-    def top(self, q_ids: np.ndarray, q: np.ndarray, k: int):
-        """Yield (query index, ids, scores) of each query's k best."""
-        best: list[list[tuple[int, int]]] = [[] for _ in q_ids]
+    """Cells of a set of integer vectors."""
+
+    def __init__(self, ids: np.ndarray, cells: np.ndarray, cell_bits: int):
+        self.ids, self.cells, self.bits = ids, cells, cell_bits
+
+    def candidates(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        """Yield (query index, ids, lower bounds, upper bounds) of the vectors
+        that may be among a query's k best here."""
+        width = (1 << self.bits) - 1
         qf = q.astype(np.float64)
-        up, down = self.width * np.maximum(qf, 0).sum(1), self.width * np.minimum(qf, 0).sum(1)
+        up, down = width * np.maximum(qf, 0).sum(1), width * np.minimum(qf, 0).sum(1)
+        near = np.empty((len(q), len(self.ids)))
         for i in range(0, len(self.ids), VECTORS_A_CHUNK):
-            ids, exact = self.ids[i : i + VECTORS_A_CHUNK], self.exact[i : i + VECTORS_A_CHUNK]
-            corner = (self.cells[i : i + VECTORS_A_CHUNK] << self.bits).astype(np.float64)
-            near = qf @ corner.T
-            near[ids[None, :] == q_ids[:, None]] = -np.inf
-            at = max(0, len(ids) - k)
-            sure = np.partition(near, at, axis=1)[:, at] + down if len(ids) >= k else np.full(len(q_ids), -np.inf)
-            for j in range(len(q_ids)):
-                top = best[j]
-                floor = max(sure[j], top[-1][0] if len(top) == k else -np.inf)
-                bound = near[j] + up[j]
-                may = np.flatnonzero((bound >= floor) & np.isfinite(bound))
-                may = may[np.argsort(-bound[may], kind="stable")]
-                for a in range(0, len(may), READ):
-                    if len(top) == k and bound[may[a]] < top[-1][0]:
-                        break
-                    rows = may[a : a + READ]
-                    self.read += len(rows)
-                    found = exact[rows] @ q[j]
-                    top = sorted([*top, *zip(found.tolist(), ids[rows].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
-                best[j] = top
-        for j, top in enumerate(best):
-            yield j, [x[1] for x in top], [x[0] for x in top]
-
-
-def matrix(table: pa.Table, scale: int) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in table["v"].chunks]) if table.num_rows else pa.array([], pa.float64())
-    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
-    return np.floor(scale * x).astype(np.int64)
-
-
-def top_k(emb: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024, cell_bits: int = 3, group: int = 65_536, query_group: int = 16_384) -> DataFrame:
+            near[:, i : i + VECTORS_A_CHUNK] = qf @ (self.cells[i : i + VECTORS_A_CHUNK].astype(np.float64) * (1 << self.bits)).T
+        near[self.ids[None, :] == q_ids[:, None]] = -np.inf
+        # bounds are whole numbers, but for rounding beyond 2**53
+        slack = 1e-12 * np.abs(qf).sum(1) * (np.abs(self.cells).max(initial=0) + 1.0) * (1 << self.bits)
+        for j in range(len(q)):
+            floor = np.partition(near[j], len(self.ids) - k)[len(self.ids) - k] + down[j] if len(self.ids) > k else -np.inf
+            may = np.flatnonzero((near[j] + up[j] + 2 * slack[j] >= floor) & np.isfinite(near[j]))
+            yield j, self.ids[may], near[j][may] + down[j] - slack[j], near[j][may] + up[j] + slack[j]
+
+
+def approximate(bits: int):
+    """mapInArrow: (id, v) to (id, d, cells)."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column(1)
+            flat, offsets = np.asarray(v.values) >> bits, np.asarray(v.offsets)
+            small = bool((np.abs(flat) < 1 << 15).all())
+            flat = flat.astype(np.int16 if small else np.int64)
+            cells = [flat[i:j].tobytes() for i, j in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(cells, pa.binary())], names=["id", "d", "cells"])
+
+    return run
+
+
+def top_k(emb: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024, cell_bits: int = 3, group: int = 65_536, query_group: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of all other rows."""
 
     def clean(df):
         v = F.col(f"`{vector}`")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-        return df.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"))
-
-    vectors, asked = clean(emb), clean(queries).distinct()
+        whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+        return df.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), whole.alias("v"))
+
+    vectors = clean(emb)
+    asked = materialize(clean(queries).distinct().withColumn("q", F.xxhash64("id", "v")), "queries")
+    largest = lambda df: df.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
+    (ask, _), (_, top) = largest(asked), largest(vectors)
+    if ask is not None and top is not None and ask * top >= 2.0**63:
+        raise OverflowError("inner products beyond 64 bits: use a smaller scale")
+    file = materialize(vectors.mapInArrow(approximate(cell_bits), "id long, d int, cells binary"), "cells")
     parallel = emb.sparkSession.sparkContext.defaultParallelism
-    n, m = vectors.count(), asked.count()
+    n, m = file.count(), asked.count()
     groups, q_groups = max(2 * parallel, -(-n // group)), max(1, -(-m // query_group))
     part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select(part(groups, 1).alias("p"), F.size("v").alias("d"), "id", "v", every(q_groups).alias("g"))
-    right = asked.select(part(q_groups, 2).alias("g"), F.size("v").alias("d"), "id", "v", every(groups).alias("p"))
-    out = pa.schema([("query_id", pa.int64()), ("q_mark", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    left = file.select(part(groups, 1).alias("p"), "d", "id", "cells", every(q_groups).alias("g"))
+    right = asked.select(part(q_groups, 2).alias("g"), F.size("v").alias("d"), "id", "v", "q", every(groups).alias("p"))
+    out = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
-    def search(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], [], []]
+    def scan(vs: pa.Table, qs: pa.Table) -> pa.Table:
+        parts: list[tuple] = []
         if vs.num_rows and qs.num_rows:
-            file = ApproximationFile(vs["id"].to_numpy(), matrix(vs, scale), cell_bits)
-            q, q_ids = matrix(qs, scale), qs["id"].to_numpy()
+            d = vs["d"][0].as_py()
+            cells = np.stack([np.frombuffer(c, np.int16 if len(c) == 2 * d else np.int64).astype(np.int64) for c in vs["cells"].to_pylist()])
+            at = ApproximationFile(vs["id"].to_numpy(), cells, cell_bits)
+            q = np.array(qs["v"].to_pylist(), np.int64)
+            q_ids, marks = qs["id"].to_numpy(), qs["q"].to_numpy()
             for i in range(0, len(q), QUERIES_A_CHUNK):
-                for j, ids, scores in file.top(q_ids[i : i + QUERIES_A_CHUNK], q[i : i + QUERIES_A_CHUNK], k):
-                    mark = int((q[i + j] * np.arange(1, 2 * q.shape[1], 2)).sum())
-                    for column, x in zip(cols, ([q_ids[i + j]] * len(ids), [mark] * len(ids), ids, scores), strict=True):
-                        column += x
+                for j, ids, low, high in at.candidates(q_ids[i : i + QUERIES_A_CHUNK], q[i : i + QUERIES_A_CHUNK], k):
+                    parts.append((np.full(len(ids), marks[i + j]), ids, low, high))
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[]] * 4
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    found = left.groupBy("p", "g", "d").cogroup(right.groupBy("p", "g", "d")).applyInArrow(search, "query_id long, q_mark long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "q_mark").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a task holds group vectors' cells and query_group queries
+    found = materialize(left.groupBy("p", "g", "d").cogroup(right.groupBy("p", "g", "d")).applyInArrow(scan, "q long, id long, low double, high double"), "bounds")
+    nth = lambda col: Window.partitionBy("q").orderBy(F.desc(col))
+    floor = found.withColumn("n", F.row_number().over(nth("low"))).where(F.col("n") <= k).groupBy("q").agg(F.min("low").alias("floor"), F.count("*").alias("n"))
+    # ids that repeat have a row each here, and each row of the id is read for one of them
+    alive = found.join(floor, "q").where((F.col("high") >= F.col("floor")) | (F.col("n") < k)).groupBy("q", "id").agg(F.max("high").alias("high"))
+    alive = materialize(alive, "alive")
+    dot = F.aggregate(F.zip_with("v", "qv", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
+    probe = asked.select("q", F.col("id").alias("query_id"), F.col("v").alias("qv"))
+
+    def read(rows: DataFrame) -> DataFrame:
+        exact = rows.select("q", "id").join(vectors, "id").join(probe, "q").where((F.size("v") == F.size("qv")) & (F.col("id") != F.col("query_id")))
+        scored = exact.select("q", "query_id", "id", dot.alias("score"))
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    first = alive.withColumn("n", F.row_number().over(nth("high"))).where(F.col("n") <= FIRST * k)
+    sure = materialize(read(first), "first")
+    certain = sure.groupBy("q").agg(F.min("score").alias("floor"), F.count("*").alias("have"))
+    rest = alive.join(first.select("q", "id"), ["q", "id"], "left_anti").join(certain, "q", "left")
+    rest = rest.where(F.col("have").isNull() | (F.col("have") < k) | (F.col("high") >= F.col("floor")))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    both = sure.drop("rank").unionByName(read(rest).drop("rank")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return both.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
