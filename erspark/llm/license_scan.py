@@ -7,9 +7,9 @@ lines, is looked up among the digests of known licences and notices by a hash
 join.  The known side is this module's fixed table (or the caller's), so it is
 broadcast only if it is small.
 
-Cases: null and empty texts match nothing and keep a row; a null doc_id is kept
-and matches its own rows; rows of one id share their line findings; empty tables
-give empty results; other columns are ignored.
+Cases: null and empty texts match nothing and keep a row; a null doc_id is kept;
+every row has its own findings, rows of one id too; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,9 +50,52 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 GRANT_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+HEADER_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+HEADER_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+HEADER_GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details.
+You should have received a copy of the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."""
+TEXT_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+TEXT_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+TEXT_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+GRANT_0BSD = GRANT_ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+#: Whole texts by licence, each with its usual headings; for licences of many
+#: pages the header that files carry.  A caller's table can hold any others.
 TEXTS = {
-    "MIT": (GRANT_MIT, "MIT License\n" + GRANT_MIT, "The MIT License\n" + GRANT_MIT),
+    "MIT": (GRANT_MIT, "MIT License\n" + GRANT_MIT, "The MIT License\n" + GRANT_MIT, "The MIT License (MIT)\n" + GRANT_MIT),
     "ISC": (GRANT_ISC, "ISC License\n" + GRANT_ISC),
+    "0BSD": (GRANT_0BSD, "BSD Zero Clause License\n" + GRANT_0BSD),
+    "BSD-2-Clause": (BSD_HEAD + BSD_TAIL, "BSD 2-Clause License\n" + BSD_HEAD + BSD_TAIL),
+    "BSD-3-Clause": (BSD_HEAD + BSD_THIRD + BSD_TAIL, "BSD 3-Clause License\n" + BSD_HEAD + BSD_THIRD + BSD_TAIL),
+    "Unlicense": (TEXT_UNLICENSE,),
+    "Zlib": (TEXT_ZLIB, "zlib License\n" + TEXT_ZLIB),
+    "BSL-1.0": (TEXT_BSL, "Boost Software License - Version 1.0 - August 17th, 2003\n" + TEXT_BSL),
+    "Apache-2.0": (HEADER_APACHE,),
+    "MPL-2.0": (HEADER_MPL,),
+    "GPL-2.0": (HEADER_GNU.format("program", "General Public License", "2"),),
+    "GPL-3.0": (HEADER_GNU.format("program", "General Public License", "3"),),
+    "LGPL-2.1": (HEADER_GNU.format("library", "Lesser General Public License", "2.1"),),
+    "LGPL-3.0": (HEADER_GNU.format("program", "Lesser General Public License", "3"),),
+    "AGPL-3.0": (HEADER_GNU.format("program", "Affero General Public License", "3"),),
 }
 
 #: Equivalent spellings of canonical words, in this order.
@@ -80,34 +123,36 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
 
 
-def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license, digest) of the fixed table."""
+def known_licenses(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(license, digest) of the fixed table, and of a caller's (license, text)
+    table, such as a folder of licence files.  A text in both goes by the lesser
+    name."""
     rows = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
     rows += [(k, f"SPDX-License-Identifier: {k}") for k in NAMES] + [(k, t) for k, ts in TEXTS.items() for t in ts]
     made = spark.createDataFrame(rows, "license string, text string")
+    if more is not None:
+        made = made.unionByName(more.select("license", "text"))
     return made.select(F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, digest of the canonical text, license (of the
     whole text, else null), line_licenses (sorted, joined by commas; '' if none)
-    and n_license_lines."""
+    and n_license_lines.  Texts are read and made canonical once; the digests of
+    a row meet the table in one hash join and come together by a key of the row."""
     known = small(known if known is not None else known_licenses(docs.sparkSession), 100_000)
-    lines = docs.select(F.col(f"`{id_col}`").alias("_id"), canonical_lines(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("_lines"))
-    hits = (
-        lines.select("_id", F.explode("_lines").alias("_line"))
-        .select("_id", F.sha2("_line", 256).alias("digest"))
-        .join(known, "digest")
-        .groupBy("_id", "license").agg(F.count("*").alias("_n"))
-        .groupBy("_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("_all"), F.sum("_n").alias("_n"))
-        .withColumnRenamed("_id", "_hit")
-    )
-    whole = lines.select("_id", F.sha2(F.array_join("_lines", " "), 256).alias("digest"), (F.size("_lines") > 0).alias("_some"))
-    out = whole.join(known, "digest", "left").join(hits, F.col("_id").eqNullSafe(F.col("_hit")), "left")
-    return out.select(
-        F.col("_id").alias(id_col), "digest", F.when(F.col("_some"), F.col("license")).alias("license"),
-        F.coalesce("_all", F.lit("")).alias("line_licenses"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_license_lines"),
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), canonical_lines(body).alias("lines"))
+    whole = F.struct(F.lit(True).alias("whole"), (F.size("lines") > 0).alias("some"), F.sha2(F.array_join("lines", " "), 256).alias("digest"))
+    each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.lit(True).alias("some"), F.sha2(x, 256).alias("digest")))
+    digests = lines.select("row", "id", F.explode(F.concat(F.array(whole), each)).alias("d")).select("row", "id", "d.*")
+    met = digests.join(known, "digest", "left").where("whole or license is not null")
+    line = F.when(~F.col("whole"), F.col("license"))
+    out = met.groupBy("row").agg(
+        F.max(F.when(F.col("whole"), F.struct("id", "digest", F.when(F.col("some"), F.col("license")).alias("license")))).alias("w"),
+        F.array_join(F.array_sort(F.collect_set(line)), ",").alias("line_licenses"), F.count(line).alias("n_license_lines"),
     )
+    return out.select(F.col("w.id").alias(id_col), "w.digest", "w.license", "line_licenses", "n_license_lines")
 
 
 def oracle_sql() -> str:
@@ -125,9 +170,9 @@ def oracle_sql() -> str:
     values = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in rows)
     return f"""
 WITH known AS (SELECT sha256(array_to_string({lines('t')}, ' ')) AS digest, min(k) AS license FROM (VALUES {values}) v(k, t) GROUP BY 1),
- doc AS (SELECT doc_id, {lines("coalesce(text, '')")} AS ls FROM documents),
- hit AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS a, count(*) AS n
-  FROM (SELECT doc_id, sha256(unnest(ls)) AS digest FROM doc) JOIN known USING (digest) GROUP BY doc_id)
+ doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {lines("coalesce(text, '')")} AS ls FROM documents),
+ hit AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS a, count(*) AS n
+  FROM (SELECT r, sha256(unnest(ls)) AS digest FROM doc) JOIN known USING (digest) GROUP BY r)
 SELECT d.doc_id, sha256(array_to_string(d.ls, ' ')) AS digest, CASE WHEN len(d.ls) > 0 THEN k.license END AS license,
  coalesce(h.a, '') AS line_licenses, CAST(coalesce(h.n, 0) AS BIGINT) AS n_license_lines
-FROM doc d LEFT JOIN known k ON k.digest = sha256(array_to_string(d.ls, ' ')) LEFT JOIN hit h ON h.doc_id IS NOT DISTINCT FROM d.doc_id"""
+FROM doc d LEFT JOIN known k ON k.digest = sha256(array_to_string(d.ls, ' ')) LEFT JOIN hit h USING (r)"""
