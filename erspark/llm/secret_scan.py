@@ -2,8 +2,8 @@
 
 A random string costs many tokens for its length.  Runs of key-like characters
 whose characters-per-token ratio under a tiktoken vocabulary is low are
-reported, unless they are known digests (hex of a digest's length), UUIDs,
-numbers, or identifiers made of words.
+reported, unless they are known digests (hex of a digest's length, or listed by
+the caller), UUIDs, numbers, or identifiers made of words.
 
 Cases: a null text is empty and gives no span; a null doc_id is kept as null;
 repeated rows give repeated results; further columns of the input are ignored
@@ -15,12 +15,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import fresh, map_texts
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -52,11 +53,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def is_random(run: str, path: str, ratio: float) -> bool:
+def is_random(run: str, path: str, ratio: float, known: frozenset[str] = frozenset()) -> bool:
     """True for a run whose characters per token are below ratio, digests and
     identifiers excluded."""
     s = run.strip("=-_/+")
-    if len(s) < 20 or s.isdigit() or UUID.fullmatch(s) or WORDY.fullmatch(s):
+    if s.lower() in known or len(s) < 20 or s.isdigit() or UUID.fullmatch(s) or WORDY.fullmatch(s):
         return False
     if len(s) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
         return False
@@ -65,7 +66,7 @@ def is_random(run: str, path: str, ratio: float) -> bool:
     return len(s) / len(encoding(path).encode_ordinary(s)) < ratio
 
 
-def find_spans(raw: bytes, path: str, ratio: float = 2.0) -> list[tuple[int, int, int]]:
+def find_spans(raw: bytes, path: str, ratio: float = 2.0, known: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
     """(start, end, index into KINDS), sorted, in code points of the whole text."""
     text, out = raw.decode("utf-8", "replace"), []
     low = raw.lower()
@@ -76,22 +77,27 @@ def find_spans(raw: bytes, path: str, ratio: float = 2.0) -> list[tuple[int, int
         if "AKIA" in run[0]:
             out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
         out += [(m.start(), m.end(), 2) for m in HEX.finditer(text, a, b) if m.end() - m.start() >= 24]
-    base = list(out)
+    # a sweep: runs and the reach of the base spans that begin before a run's end
+    base, i, reach = sorted(out), 0, -1
     for run in RUN.finditer(text):
         a, b = run.span()
-        if not any(x < b and a < y for x, y, _ in base) and is_random(run[0], path, ratio):
+        while i < len(base) and base[i][0] < b:
+            reach = max(reach, base[i][1])
+            i += 1
+        if reach <= a and is_random(run[0], path, ratio, known):
             out.append((a, b, 3))
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ratio: float = 2.0, vocabulary: str | None = None) -> DataFrame:
-    """One row per document: counts by kind, the base spans' digest, all spans."""
-    path = vocabulary or vocabulary_path()
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ratio: float = 2.0, vocabulary: str | None = None, known: Iterable[str] = ()) -> DataFrame:
+    """One row per document: counts by kind, the base spans' digest, all spans.
+    known: digests and keys that are no secrets (a list that fits a task)."""
+    path, known = vocabulary or vocabulary_path(), frozenset(x.lower() for x in known)
 
     def work(texts, ids):
         counts, shas, spans = [], [], []
         for t in texts:
-            found = find_spans(t, path, ratio)
+            found = find_spans(t, path, ratio, known)
             said = lambda xs: ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in xs)
             counts.append([sum(k == n for *_, k in found) for n in range(4)])
             shas.append(hashlib.sha256(said([x for x in found if x[2] < 3]).encode()).hexdigest())
@@ -102,28 +108,28 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ra
     return map_texts(docs, [id_col], f"{id_col} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long", work, text)
 
 
-def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", ratio: float = 2.0, vocabulary: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", ratio: float = 2.0, vocabulary: str | None = None, known: Iterable[str] = ()) -> DataFrame:
     """docs with every found span replaced by mask; rows and columns stay.
     n_chars, where it exists, counts the new text."""
-    path = vocabulary or vocabulary_path()
-    rest = [c for c in docs.columns if c != text]
+    path, known = vocabulary or vocabulary_path(), frozenset(x.lower() for x in known)
+    rest, mark = [c for c in docs.columns if c != text], fresh(docs, "_had")
 
     def work(texts, had, *cols):
         new = []
         for t, h in zip(texts, had, strict=True):
             s, parts, at = t.decode("utf-8", "replace"), [], 0
-            for a, b, _ in find_spans(t, path, ratio):
+            for a, b, _ in find_spans(t, path, ratio, known):
                 if b > at:
                     parts += [s[at : max(a, at)], mask if a >= at else ""]
                     at = b
             new.append("".join([*parts, s[at:]]) if h else None)
         return [*cols, new]
 
-    marked = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").isNotNull().alias("_had_"), F.col(f"`{text}`"))
+    marked = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").isNotNull().alias(mark), F.col(f"`{text}`"))
     from pyspark.sql.types import StructType
 
     schema = StructType([docs.schema[c] for c in rest] + [docs.schema[text]])
-    order = ["_had_", *rest]
+    order = [mark, *rest]
     out = map_texts(marked, order, schema, work, text)
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
