@@ -105,10 +105,11 @@ def default_weights(counts: dict[str, int]) -> dict[str, float]:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id_col: str = "doc_id", block: int = 16, period: int = 1000, buckets: int = 1024, seed: int = 7) -> DataFrame:
-    """docs with _mix: struct(block, release, deadline, slot, position), longs.
+    """docs with _mix: struct(block, release, deadline, slot, position), longs
+    (the last column, named __mix if docs has a _mix of its own).
     period is kept for callers: weights are exact, so nothing depends on it."""
     spark = docs.sparkSession
-    key, bucket = fresh(docs, "_src"), fresh(docs, "_bucket")
+    key, bucket, rank, at, slot, release, due, base = (fresh(docs, c) for c in ("_src", "_bucket", "_r", "_block", "_slot", "_release", "_due", "_base"))
     named = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\0"))
     order = F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed))
     keyed = docs.withColumn(key, named).withColumn(bucket, F.pmod(order, F.lit(buckets)).cast("int"))
@@ -123,25 +124,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     else:
         given = {("\0" if s is None else str(s)): float(w) for s, w in weights.items()}
         given |= {s: min(given.values(), default=1.0) for s in counts if s not in given}
-    table = schedule_table(spark, given, {s: -(-n // block) for s, n in counts.items()}, f"{key} string, _block long, _slot long, _release long, _due long")
+    table = schedule_table(spark, given, {s: -(-n // block) for s, n in counts.items()}, f"{key} string, {at} long, {slot} long, {release} long, {due} long")
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # rows of a group here: buckets
-    bases = sizes.select(key, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    bases = sizes.select(key, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(base))
     within = Window.partitionBy(key, bucket).orderBy(order, F.col(f"`{id_col}`"))
     ranked = (
-        keyed.withColumn("_r", F.row_number().over(within) - 1)
+        keyed.withColumn(rank, F.row_number().over(within) - 1)
         .join(bases, [key, bucket])
-        .withColumn("_r", F.col("_r") + F.col("_base"))
-        .withColumn("_block", F.floor(F.col("_r") / block))
+        .withColumn(rank, F.col(rank) + F.col(base))
+        .withColumn(at, F.floor(F.col(rank) / block))
     )
-    out = ranked.join(table, [key, "_block"])
+    out = ranked.join(table, [key, at])
     spot = F.struct(
-        F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_due").alias("deadline"), F.col("_slot").alias("slot"),
-        (F.col("_slot") * block + F.pmod(F.col("_r"), F.lit(block))).alias("position"),
+        F.col(at).alias("block"), F.col(release).alias("release"), F.col(due).alias("deadline"), F.col(slot).alias("slot"),
+        (F.col(slot) * block + F.pmod(F.col(rank), F.lit(block))).alias("position"),
     )
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], spot.alias("_mix"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], spot.alias(fresh(docs, "_mix")))
 
 
 def in_order(mixed: DataFrame, source_of: DataFrame) -> DataFrame:
     """The rows of mix() in their order, with the columns of source_of."""
-    return mixed.orderBy("_mix.position").select(*[F.col(f"`{c}`") for c in source_of.columns])
+    return mixed.orderBy(f"{mixed.columns[-1]}.position").select(*[F.col(f"`{c}`") for c in source_of.columns])

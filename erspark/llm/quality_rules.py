@@ -15,7 +15,8 @@ documents is rejected:
   labelled bad.  A stratum without enough labels gets no cutoff and keeps all.
 
 Cases: a null text has no words (and fails the base rule); a null stratum is a
-stratum of its own; repeated rows count as often as they occur; labels whose
+stratum of its own; repeated rows are judged each, but a labelled text is one
+trial however often it is there; labels whose
 document does not exist, and null labels, are unused; empty tables give empty
 results; other columns are carried along untouched.
 """
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_texts, materialize, small
+from .common import map_texts, materialize, small
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")
@@ -67,13 +68,14 @@ def text_stats(raw: bytes) -> tuple[int, int, int, int, int, int]:
 
 
 def add_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep of docs and STATS, renamed where docs has such names."""
+    """The columns keep of docs as _d0, _d1, ... and STATS as _s_...: whatever
+    docs calls its columns, none meets a name used here."""
     from pyspark.sql.types import LongType, StructField, StructType
 
     def work(texts, *cols):
         return [*cols, *zip(*map(text_stats, texts), strict=True)] if texts else [*cols, *[[]] * len(STATS)]
 
-    schema = StructType([docs.schema[c] for c in keep] + [StructField(f"_s_{c}", LongType()) for c in STATS])
+    schema = StructType([StructField(f"_d{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + [StructField(f"_s_{c}", LongType()) for c in STATS])
     return map_texts(docs, keep, schema, work, text)
 
 
@@ -108,7 +110,8 @@ def choose_cutoffs(stats: DataFrame, labels: DataFrame, id_col: str, stratum: st
     """(_stratum, one column _c_<rule> for each rule): null where no cutoff is
     certified.  Only counts by stratum, rule and ladder step are gathered."""
     known = labels.where("quality is not null").select(F.col("doc_id").alias("_l_id"), (F.col("quality") == 1).alias("_good"))
-    rows = stats.join(known, F.col(f"`{id_col}`") == F.col("_l_id")).where(~base_failed())
+    # a labelled text that is there several times is one trial
+    rows = stats.join(known, F.col(id_col) == F.col("_l_id")).where(~base_failed()).select(id_col, stratum, "_good", *[f"_s_{c}" for c in STATS]).distinct()
     steps = []
     for i, (_, sql, ladder) in enumerate(RULES):
         expr = re.sub(r"\b(" + "|".join(STATS) + r")\b", r"_s_\1", sql)
@@ -152,11 +155,10 @@ def verdict(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
 
 def quality_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, text: str = "text") -> DataFrame:
     """One row per document: id, statistics, base_failed and kept."""
-    keep = [id_col] if id_col == stratum else [id_col, stratum]
-    stats = materialize(add_stats(docs, keep, text), "stats")
-    cutoffs = materialize(choose_cutoffs(stats, labels, id_col, stratum, alpha, delta), "cutoffs")
-    return verdict(stats, cutoffs, stratum).select(
-        F.col(id_col), *[F.col(f"_s_{c}").alias(c) for c in STATS[:5]], "base_failed", "kept"
+    stats = materialize(add_stats(docs, [id_col, stratum], text), "stats")
+    cutoffs = materialize(choose_cutoffs(stats, labels, "_d0", "_d1", alpha, delta), "cutoffs")
+    return verdict(stats, cutoffs, "_d1").select(
+        F.col("_d0").alias(id_col), *[F.col(f"_s_{c}").alias(c) for c in STATS[:5]], "base_failed", "kept"
     )
 
 
@@ -164,9 +166,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", s
     """The rows of docs that are kept, with their columns.  Cutoffs come from a
     first pass that keeps numbers only; texts pass a second time and are never
     shuffled."""
-    keep = [id_col] if id_col == stratum else [id_col, stratum]
-    cutoffs = materialize(choose_cutoffs(add_stats(docs, keep, text), labels, id_col, stratum, alpha, delta), "cutoffs")
-    copy = fresh(docs, "_text2")
-    whole = docs.withColumn(copy, F.col(f"`{text}`"))
-    stats = add_stats(whole, docs.columns, copy)
-    return verdict(stats, cutoffs, stratum).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    cutoffs = materialize(choose_cutoffs(add_stats(docs, [id_col, stratum], text), labels, "_d0", "_d1", alpha, delta), "cutoffs")
+    stats = add_stats(docs, docs.columns, text)
+    kept = verdict(stats, cutoffs, f"_d{docs.columns.index(stratum)}").where("kept")
+    return kept.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)])

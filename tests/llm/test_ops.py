@@ -76,6 +76,38 @@ def test_suffix_dedup(docs, rows, none, heavy):
         assert bwt_dedup.repeated_bytes(none).count() == 0
 
 
+def brute_removed(texts, size=200):
+    """n_removed of each text, by all windows of all texts."""
+    seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+    out = []
+    for t in texts:
+        gone = set()
+        for i in range(len(t) - size + 1):
+            if seen[t[i : i + size]] > 1:
+                gone.update(range(i, i + size))
+        out.append(len(gone))
+    return out
+
+
+def test_periodic_texts(spark, tmp_path):
+    """Stretches of short periods, whole or broken, and texts that hold a piece."""
+    rng = np.random.default_rng(7)
+    noise = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    texts = [noise(90) + p * (n // len(p)) + noise(n2) for p, n, n2 in (("-", 900, 50), ("ab", 700, 0), ("abc1", 260, 80), (noise(30), 1500, 300), (noise(61), 800, 10), ("-", 203, 90), (noise(100), 900, 9))]
+    texts += [noise(50) + "-" * 200 + noise(70), noise(20) + "ab" * 100 + "c" + noise(9), "x" * 199, "x" * 200, "y" * 201, texts[3][100:400] + noise(60), "z" * 3000 + "q" + "z" * 3000]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(path)
+    got = {r.doc_id: r.n_removed for r in bwt_dedup.repeated_bytes(spark.read.parquet(path)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts)
+
+
+def test_ten_megabytes_of_one_period(spark, tmp_path):
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(1, "-=" * 5_000_000 + "end"), (2, "head " + "-=" * 120), (3, "other")], "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r.n_removed for r in bwt_dedup.repeated_bytes(spark.read.parquet(path)).collect()}
+    assert got == {1: 10_000_000, 2: 240, 3: 0}
+
+
 def test_anchors_are_synchronised():
     rng = np.random.default_rng(1)
     core = rng.integers(97, 105, 400, np.uint8).tobytes()
@@ -95,7 +127,7 @@ def test_lm_score(spark, docs, rows, none):
     c = Counter(w for ws, h in zip(toks, held, strict=True) if not h for w in ws)
     n, v = sum(c.values()), len(c)
     want = Counter((r[0], h, len(ws), sum(w in c for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for r, ws, h in zip(rows, toks, held, strict=True))
-    out = bloom_lm.score(docs, vocabulary_size=200).collect()
+    out = bloom_lm.score(docs).collect()
     got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out)
     assert got == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in out)
@@ -104,18 +136,46 @@ def test_lm_score(spark, docs, rows, none):
     assert bloom_lm.score(none).count() == 0
 
 
-def test_bloom_filter_never_understates(spark, monkeypatch):
-    grams = np.unique(np.random.default_rng(2).integers(-(2**62), 2**62, 3000))
+def test_lm_blocks_buckets_and_groups(spark, docs, monkeypatch):
+    """Small blocks, many buckets and several broadcasts give the same rows; a
+    probability never exceeds one, and the model grows with what it reads."""
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))
+    want = sorted((key(r), r.score) for r in bloom_lm.score(docs, bits_per_entry=40).collect())
+    monkeypatch.setattr(bloom_lm, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(bloom_lm, "BUCKET_WORDS", 100)
+    monkeypatch.setattr(bloom_lm, "GROUP_BYTES", 4000)
+    got = sorted((key(r), r.score) for r in bloom_lm.score(docs, bits_per_entry=40).collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and all(s <= 0 for _, s in got)
+    # a filter of other sizes errs elsewhere, seldom at 40 bits an entry
+    near = sum(abs(x - y) <= 0.02 * abs(y) + 0.1 for (_, x), (_, y) in zip(got, want, strict=True))
+    assert near >= 0.9 * len(want)
+
+
+def test_lm_knows_what_it_read(spark):
+    """Every word of a larger corpus is in the model: a text that was read twice
+    scores far above one of the same words in another order."""
+    vocab = [f"w{i}" for i in range(6000)]
+    rng = np.random.default_rng(1)
+    for n in (50, 400):
+        texts = [" ".join(rng.choice(vocab, 60)) for _ in range(n)]
+        ids = [i for i in range(10 * n) if zlib.crc32(str(i).encode()) % 7 != 2][: 2 * n]
+        out = next(i for i in range(10**6, 10**7) if zlib.crc32(str(i).encode()) % 7 == 2)
+        rows = [(i, t) for i, t in zip(ids, texts + texts, strict=True)] + [(out, " ".join(texts[0].split()[::-1]))]
+        scores = {r.doc_id: r.score for r in bloom_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert min(scores[i] for i in ids) > scores[out] + 60
+
+
+def test_bloom_filter_never_understates():
+    grams = np.unique(np.random.default_rng(2).integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
     counts = np.random.default_rng(3).integers(1, 500, len(grams))
-    df = spark.createDataFrame([(int(g), int(c)) for g, c in zip(grams, counts, strict=True)], "gram long, c long")
-    for cap in (1 << 26, 1 << 14):
-        monkeypatch.setattr(bloom_lm, "SHARD_BITS", cap)
-        shards, bits, top = bloom_lm.build_filter(df, 1.5, 8.0)
-        assert (len(shards) > 1) == (cap < 1 << 26)
-        q = bloom_lm.probe(grams.view(np.uint64), [lambda s=s: s.value for s in shards], bits, top)
-        true = bloom_lm.levels(counts, 1.5)
+    true = bloom_lm.levels(counts, 1.5)
+    for buckets, size in ((1, 1), (7, 3)):
+        own = bloom_lm.bucket_of(grams, buckets)
+        tables = [bloom_lm.shard(grams[own == b], true[own == b], 8.0) for b in range(buckets)]
+        groups = [(b, lambda b=b: bloom_lm.Shards(b, tables[b : b + size])) for b in range(0, buckets, size)]
+        q = bloom_lm.probe(grams, groups, buckets)
         assert (q >= true).all() and (q == true).mean() > 0.9
-        absent = bloom_lm.probe(np.arange(5000, dtype=np.uint64), [lambda s=s: s.value for s in shards], bits, top)
+        absent = bloom_lm.probe(bloom_lm.mixed(np.arange(5000, dtype=np.uint64), 9), groups, buckets)
         assert (absent > 0).mean() < 0.1
 
 
@@ -138,6 +198,23 @@ def test_quality_base_and_rejection(spark, docs, rows, none):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
 
 
+def test_names_of_the_input_do_not_clash(spark):
+    """Columns called like the operators' own pass through unharmed."""
+    names = ["kept", "base_failed", "_stratum", "_s_n_words", "_d0", "_r", "_block", "_slot", "_due", "_release", "_base", "_src", "_bucket", "_mix", "_had", "_n", "_mark"]
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, good + f" x{i}", "en", "a" if i % 2 else "b", *[f"{n}{i}" for n in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    want = sorted(rows)
+    assert sorted(map(tuple, quality_rules.quality_filter(df, labels).collect())) == want
+    assert quality_rules.quality_table(df, labels).where("kept").count() == 40
+    mixed = mixing.mix(df)
+    assert sorted(tuple(r)[:-1] for r in mixed.collect()) == want and mixed.columns[-1] == "__mix"
+    assert sorted(map(tuple, mixing.in_order(mixed, df).collect())) == want
+    assert sorted(map(tuple, secret_scan.redact(df).collect())) == want
+    assert simhash.drop_near_duplicates(df).columns == df.columns
+
+
 def test_cutoffs_are_certified():
     exact = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
     for k, n, p in ((0, 100, 0.02), (3, 500, 0.01), (7, 60, 0.3)):
@@ -167,9 +244,26 @@ def test_va_topk(spark):
     want = {q: sorted(((i, sum(a * b for a, b in zip(x[q], v))) for i, v in x.items() if i != q), key=lambda y: (-y[1], y[0]))[:10] for q in x if q % 100 == 0}
     assert dict(got) == want
     assert va_file.top_k(emb.where("vec_id < 0"), emb.where("vec_id < 0")).count() == 0
-    file = va_file.ApproximationFile(np.arange(400), np.array([x[i] for i in range(400)]), 3)
-    list(file.top(np.array([0]), np.array([x[0]]), 10))
-    assert file.read < 200  # bounds leave most vectors unread
+    matrix = np.array([x[i] for i in range(400)])
+    file = va_file.ApproximationFile(np.arange(400), matrix >> 3, 3)
+    (_, ids, low, high), = file.candidates(np.array([0]), matrix[:1], 10)
+    exact = matrix[ids] @ matrix[0]
+    assert len(ids) < 200 and (low <= exact).all() and (exact <= high).all()  # bounds leave most vectors unread
+
+
+def test_va_topk_with_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    vecs = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(1, 60)]
+    vecs += [(100, vecs[0][1]), (100, [c + 1e-9 for c in vecs[0][1]]), (100, vecs[0][1]), vecs[3], vecs[3], (61, [40.0] * 8)]
+    emb = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    x = [(i, [math.floor(1024 * c) for c in v]) for i, v in vecs]
+    want = []
+    for q in {tuple(v) for i, v in x if i == 100}:
+        want += sorted(((i, sum(a * b for a, b in zip(q, v, strict=True))) for i, v in x if i != 100), key=lambda y: (-y[1], y[0]))[:10]
+    out = va_file.top_k(emb, emb.where("vec_id % 100 = 0"), group=7).collect()
+    assert Counter((r.vec_id, r.score) for r in out) == Counter(want) and {r.query_id for r in out} == {100}
+    with pytest.raises(OverflowError):
+        va_file.top_k(spark.createDataFrame([(100, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>"), emb.where("vec_id = 100").limit(0).union(spark.createDataFrame([(100, [1e9])], "vec_id long, embedding array<double>")))
 
 
 def test_licenses_against_sql(spark, docs, rows, none):
@@ -185,6 +279,11 @@ def test_licenses_against_sql(spark, docs, rows, none):
     mit = spark.createDataFrame([(1, "MIT License\n\nCopyright (c) 2021 Me & Co\n\n" + license_scan.GRANT_MIT.replace("sublicense", "sub-license").upper())], "doc_id long, text string")
     assert license_scan.scan_licenses(mit).first().license == "MIT"
     assert license_scan.scan_licenses(none).count() == 0
+    bsd = "Copyright 1999 The Y\n" + license_scan.BSD_HEAD.replace("1.", "  (1)").replace("2.", "* 2") + license_scan.BSD_THIRD + license_scan.BSD_TAIL
+    some = spark.createDataFrame([(None, "no notice"), (None, "Released under the MIT License"), (5, "nothing"), (5, "ISC License\nand more"), (6, bsd), (7, "The Foo\nLicence")], "doc_id long, text string")
+    foo = license_scan.known_licenses(spark, spark.createDataFrame([("Foo", "the FOO license")], "license string, text string"))
+    out = Counter((r.doc_id, r.license, r.line_licenses) for r in license_scan.scan_licenses(some, foo).collect())
+    assert out == Counter([(None, None, ""), (None, "MIT", "MIT"), (5, None, ""), (5, None, "ISC"), (6, "BSD-3-Clause", ""), (7, "Foo", "")])
 
 
 def test_secrets(docs, rows, none):
