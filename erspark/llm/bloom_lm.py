@@ -16,10 +16,8 @@ share of the distinct n-grams) or a block.  Shards are broadcast in groups of at
 most GROUP_BYTES, so no broadcast grows with the corpus, only their number.
 
 score: sum of log10 P(w | u, v); P is a weighted mean of triple, pair and
-add-one single estimates, all of them probes.  The weights depend on how often
-the context was seen and come from a pass over all training rows: the share of
-tokens that the longer order foretells best with the token itself not counted.
-A text comes from that model or from single tokens alone with equal chance, so
+add-one single estimates, all of them probes.  A context seen c times weighs
+c / (c + TRUST), the shorter order the rest.  A text comes from that model or from single tokens alone with equal chance, so
 one without familiar n-grams loses next to nothing.  base_score uses exact
 counts.
 
@@ -46,8 +44,8 @@ END = b""
 HASHES = 3
 #: Words of a block, words of a bucket, bytes of a broadcast, texts scored at a time.
 BLOCK_WORDS, BUCKET_WORDS, GROUP_BYTES, SLICE = 1 << 20, 3 << 19, 1 << 26, 512
-#: Levels of a context that have weights of their own; the most that an order weighs.
-LEVELS, TOP_WEIGHT = 64, 0.99
+#: Levels that a count has at most; a context seen so often weighs one half.
+LEVELS, TRUST = 128, 5.0
 TOKENS, PAIRS, TRIPLES, POSTINGS, ANSWER, SHARD, STATS = range(7)
 ROW = "bucket int, block long, kind int, body binary"
 
@@ -326,10 +324,9 @@ def held(bc, alone: bool):
 
 
 def model_scores(rows: DataFrame, groups: list, buckets: int, n: int, v: int, base: float, kind: str) -> DataFrame:
-    """(k, _id, held_out, score) of rows.  One pass over the training rows finds
-    the weights, one pass over all rows scores."""
+    """(k, _id, held_out, score) of rows, one map pass."""
     start = int(keys_of([END])[0][0])
-    steps = LEVELS
+    worth = value(np.arange(LEVELS), base)
 
     def slices(batches, text: int):
         """(slice, first tokens, levels of c1, c2, c3 and of both contexts)."""
@@ -347,47 +344,24 @@ def model_scores(rows: DataFrame, groups: list, buckets: int, n: int, v: int, ba
                 begins = np.cumsum(lengths) - lengths
                 pair, triple = grams_of(k, begins, start)
                 every, back = np.unique(np.concatenate([k, pair, triple, np.array([start], np.uint64)]), return_inverse=True)
-                q = (probe(every, filters, buckets) if filters else np.zeros(len(every), np.int64))[back]
+                q = np.minimum(probe(every, filters, buckets) if filters else np.zeros(len(every), np.int64), LEVELS - 1)[back]
                 q1, q2, q3 = (q[j * len(k) : (j + 1) * len(k)] for j in range(3))
                 one, two = np.empty_like(q1), np.zeros_like(q2)  # contexts: the token before, the pair before
                 one[1:] = q1[:-1]
                 two[1:] = q2[:-1]
                 one[begins] = q[-1]
                 two[begins] = 0  # a text's first token has no pair before it
-                yield b, begins, q1, q2, q3, np.minimum(one, steps - 1), np.minimum(two, steps - 1)
+                yield b, begins, q1, q2, q3, one, two
                 if len(known) > 500_000:
                     known.clear()
 
-    def estimates(q1, q2, q3, one, two, less):
-        """Shares of the three orders, less occurrences taken off every count."""
-        c1, c2, c3, o, t = (np.maximum(value(q, base) - less, 0) for q in (q1, q2, q3, one, two))
-        # the filter may overstate, so a share never exceeds its context's whole
-        return np.minimum(c3, t) / np.maximum(t, 1), np.minimum(c2, o) / np.maximum(o, 1), np.minimum((c1 + 1) / (n + v + 1), 1.0)
-
-    def learn(batches):
-        """Deleted estimates: which order foretells a token best that is not
-        counted itself, by the level of the context."""
-        won = np.zeros((4, steps), np.int64)
-        for _, _, q1, q2, q3, one, two in slices(batches, 0):
-            p3, p2, p1 = estimates(q1, q2, q3, one, two, 1.0)
-            third = p3 > np.maximum(p2, p1)
-            won[0] += np.bincount(two, third, steps).astype(np.int64)
-            won[1] += np.bincount(two, minlength=steps)
-            won[2] += np.bincount(one, p2 > p1, steps).astype(np.int64)
-            won[3] += np.bincount(one, minlength=steps)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * steps)), pa.array(won.ravel())], names=["at", "n"])
-
-    won = np.zeros(4 * steps)
-    for r in rows.where("train").select("text").mapInArrow(learn, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 4 * steps rows
-        won[r["at"]] = r["n"]
-    won = won.reshape(4, steps)
-    w3, w2 = (np.minimum(won[i] / np.maximum(won[i + 1], 1), TOP_WEIGHT) for i in (0, 2))
-    w3[0] = w2[0] = 0.0  # an unknown context says nothing
-
     def run(batches):
         for b, begins, q1, q2, q3, one, two in slices(batches, 3):
-            p3, p2, p1 = estimates(q1, q2, q3, one, two, 0.0)
-            p = w3[two] * p3 + (1 - w3[two]) * (w2[one] * p2 + (1 - w2[one]) * p1)
+            c1, c2, c3, o, t = (worth[q] for q in (q1, q2, q3, one, two))
+            # the filter may overstate, so a share never exceeds its context's whole
+            p3, p2, p1 = np.minimum(c3, t) / np.maximum(t, 1), np.minimum(c2, o) / np.maximum(o, 1), np.minimum((c1 + 1) / (n + v + 1), 1.0)
+            w3, w2 = t / (t + TRUST), o / (o + TRUST)
+            p = w3 * p3 + (1 - w3) * (w2 * p2 + (1 - w2) * p1)
             mixed_model, single = np.add.reduceat(np.log10(p), begins), np.add.reduceat(np.log10(p1), begins)
             total = np.maximum(mixed_model, single) + np.log10((1 + 10.0 ** -np.abs(mixed_model - single)) / 2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([not x for x in b.column(2).to_pylist()], pa.bool_()), pa.array(total)], names=["k", "_id", "held_out", "score"])
