@@ -110,9 +110,12 @@ VIEWS = {"word": (("name", "addr"), "words", 20, 10), "name5": (("name",), "gram
 
 def open_buckets(df: DataFrame, countries: DataFrame, unknown: str = "unk") -> DataFrame:
     """df with rows of unknown country in the bucket of every country (ctry is
-    the bucket).  countries: few rows, checked by the caller's grouping."""
+    the bucket).  countries must be few: each unknown row is repeated for each."""
+    few = countries.select("ctry").distinct()
+    if few.limit(1001).count() > 1000:
+        raise ValueError("more than 1000 countries: rows of unknown country would be repeated too often")
     known = df.where(F.col("ctry") != unknown)
-    return known.unionByName(df.where(F.col("ctry") == unknown).drop("ctry").crossJoin(F.broadcast(countries.select("ctry"))).select(*df.columns))
+    return known.unionByName(df.where(F.col("ctry") == unknown).drop("ctry").crossJoin(F.broadcast(few)).select(*df.columns))
 
 
 def block(s1: DataFrame, cands: DataFrame, tokens: dict, views: dict = VIEWS, budget: float = 5e6) -> DataFrame:
@@ -147,3 +150,33 @@ def admin_vocabulary(parts: DataFrame, s1_parts: DataFrame, least_state: int = 2
     alias = alias.where(~F.col("term").rlike("[0-9]")).join(ours, ["ctry", "term"], "left_anti")
     kind = lambda df, k: df.select("ctry", "term", F.lit(k).alias("kind"))
     return kind(state, "state").unionByName(kind(noise, "noise")).unionByName(kind(alias, "alias"))
+
+
+def shared_token_pairs(a: DataFrame, b: DataFrame, least_length: int, most: int) -> DataFrame:
+    """Distinct (s1_id, cand_id) that share a token (a: s1_id, tokens; b: cand_id,
+    tokens) longer than least_length and held by at most so many records."""
+    x, y = a.select("s1_id", F.explode(F.array_distinct("tokens")).alias("tok")), b.select("cand_id", F.explode(F.array_distinct("tokens")).alias("tok"))
+    long = F.length("tok") > least_length
+    rare = x.select("tok").unionByName(y.select("tok")).where(long).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("tok")
+    return x.join(rare, "tok").join(y, "tok").select("s1_id", "cand_id").distinct()
+
+
+def rarest_tokens(df: DataFrame, id_col: str, tokens: str, keep: int = 2, least_length: int = 3, most: int = 200) -> DataFrame:
+    """(id, tok, df): each record's rarest tokens, of those that are long enough
+    and not too common."""
+    t = df.select(id_col, F.explode(F.array_distinct(tokens)).alias("tok")).where(F.length("tok") > least_length)
+    counts = t.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") <= most)
+    w = Window.partitionBy(id_col).orderBy("df", "tok")
+    return t.join(counts, "tok").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select(id_col, "tok", "df")
+
+
+def sibling_counts(df: DataFrame, group: str, item: str, sure: Column) -> DataFrame:
+    """(group, item, siblings): how many other items of the group are sure; items
+    without one are left out."""
+    others = df.where(sure).select(group, F.col(item).alias("_other"))
+    return df.select(group, item).join(others, group).where(F.col(item) != F.col("_other")).groupBy(group, item).agg(F.count("*").alias("siblings"))
+
+
+def competitors(pairs: DataFrame, mine: DataFrame, owner: str, item: str) -> DataFrame:
+    """Pairs of other owners on the items of mine."""
+    return pairs.join(mine.select(item), item, "left_semi").join(mine.select(owner), owner, "left_anti")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..sources import id_list
 
 
@@ -105,3 +106,103 @@ def checked_write(lists: DataFrame, path: str, owners: DataFrame, known: DataFra
     if first:
         raise ValueError("output refused: " + "; ".join(f"{r.rule} {r.offender}" for r in first))
     return lines
+
+
+def check_file(spark, path: str, header: tuple[str, str], owners: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """check_lists() of one written file, and what is wrong with the file itself:
+    no lines, bytes that are not UTF-8, commas in place of tabs, another header.
+    A file that cannot be read further gives that finding alone.  Blank lines are
+    skipped; known None leaves out the look-up of ids."""
+    lines = sources.text_lines(spark, path)
+    say = lambda rule, who: spark.createDataFrame([(rule, "error", who)], "rule string, severity string, offender string")
+    first = lines.where("line = 0").first()
+    if first is None:
+        return say("empty file", path)
+    bad = lines.where(~F.is_valid_utf8("value")).limit(1).count()
+    if bad:
+        return say("not utf-8", path)
+    if "\t" not in first.value and "," in first.value:
+        return say("comma-separated", first.value)
+    if tuple(c.strip().lower() for c in first.value.split("\t")) != header:
+        return say("header", first.value)
+    body = lines.where("line > 0").where(F.trim("value") != "").select("value")
+    every = check_lists(body, owners, known if known is not None else spark.createDataFrame([], "id string"), candidates)
+    return every if known is not None else every.where("rule <> 'unknown id'")
+
+
+def write_and_check(path: str, found: DataFrame, candidates: DataFrame, owners: DataFrame, known: DataFrame) -> DataFrame:
+    """Write both outputs (found, candidates: s1_id, ids array), read them back and
+    check them, and that no record has two owners.  Raises if an error is left;
+    returns (file, n_rows, n_ids, n_empty, digest): digest does not depend on the
+    order of lines."""
+    spark, out, broken = found.sparkSession, [], []
+    listed = candidates.select("s1_id", F.explode("ids").alias("id"))
+    for name, column, lists, of in (("matching_results", "matched_entity_ids", found, listed), ("candidate_pairs", "candidate_entity_ids", candidates, None)):
+        rows = owners.select("s1_id").join(lists, "s1_id", "left").select(F.concat_ws("\t", "s1_id", F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ",")).alias("value"))
+        file = f"{path}/{name}"
+        sources.write_lines(f"source1_entity_id\t{column}", rows, file)
+        broken += [f"{name}: {r.rule} {r.offender}" for r in check_file(spark, file, ("source1_entity_id", column), owners, known, of).limit(5).collect()]
+        ids = id_list(F.get(F.split("value", "\t"), F.lit(1)))
+        lines = sources.text_lines(spark, file).where("line > 0")
+        out.append(lines.agg(F.lit(name).alias("file"), F.count("*").alias("n_rows"), F.sum(F.size(ids)).alias("n_ids"), F.sum((F.size(ids) == 0).cast("long")).alias("n_empty"), F.hex(F.bit_xor(F.xxhash64("value"))).alias("digest")))
+    twice = found.select("s1_id", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
+    broken += [f"two owners {r.id}" for r in twice]
+    if broken:
+        raise ValueError("output refused: " + "; ".join(broken))
+    return reduce(DataFrame.unionByName, out)
+
+
+def quantile_bins(df: DataFrame, value: str, n: int, out: str = "bin") -> DataFrame:
+    """df with the bin (0 to n - 1) of value's rank among all rows; ties share
+    their middle rank.  Ranks come from counts per value."""
+    from .ranking import counts_up_to
+
+    per = counts_up_to(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value)
+    total = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("_all"))  # one row
+    rank = per.select(value, ((F.col("_to") - (F.col("_n") - 1) / 2)).alias("_rank")).crossJoin(F.broadcast(total))
+    bin_of = F.least(F.floor((F.col("_rank") - 1) * n / F.col("_all")), F.lit(n - 1)).cast("int")
+    return df.join(rank.select(value, bin_of.alias(out)), value, "left")
+
+
+def noise_census(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Matched pairs (l_..., r_...: prepare() fields): how their names and addresses
+    differ, by group."""
+    from ..functions import similarity as sim
+
+    flag = lambda c: F.avg(c.cast("double"))
+    exact, empty = F.col("l_name_n") == F.col("r_name_n"), F.col("r_addr") == ""
+    apart = (F.size("l_nums") > 0) & (F.size("r_nums") > 0) & ~F.arrays_overlap("l_nums", "r_nums")
+    return pairs.groupBy(*by).agg(
+        F.count("*").alias("n"), flag(F.col("r_native") == 1).alias("native"), flag(F.col("r_web") != "").alias("web"), flag(exact).alias("name_exact"), flag(empty).alias("addr_empty"),
+        flag(apart).alias("nums_disjoint"), F.avg(sim.token_set_ratio("l_name_n", "r_name_n")).alias("name_tset"), F.avg(sim.token_set_ratio("l_addr", "r_addr")).alias("addr_tset"),
+    )
+
+
+def prior_odds(df: DataFrame, by: str, before: Column, after: Column, most: float = 4.0) -> DataFrame:
+    """(by, odds): the odds of after over those of before, within 1/most and most."""
+    s = df.groupBy(F.col(by).alias("k")).agg(F.avg(before.cast("int")).alias("a"), F.avg(after.cast("int")).alias("b"))
+    odds = lambda c: F.col(c) / (1 - F.col(c))
+    return s.select("k", F.greatest(F.least(odds("b") / odds("a"), F.lit(most)), F.lit(1 / most)).alias("odds"))
+
+
+def token_census(pairs: DataFrame, ours: str, theirs: str) -> DataFrame:
+    """(tok, kind, n): words that matched names drop or add (token arrays)."""
+    side = lambda u, v, k: pairs.select(F.explode(F.array_except(u, v)).alias("tok"), F.lit(k).alias("kind"))
+    return side(ours, theirs, "dropped").unionByName(side(theirs, ours, "added")).groupBy("tok", "kind").agg(F.count("*").alias("n"))
+
+
+def shortlist_misses(pairs: DataFrame, gold: DataFrame, owners: DataFrame) -> DataFrame:
+    """(ctry, p_outside): the share of references with a match that the shortlist
+    misses; decode() takes it for each entity."""
+    g = gold.select("s1_id", "cand_id").distinct().join(pairs.select("s1_id", "cand_id").distinct().withColumn("_in", F.lit(0)), ["s1_id", "cand_id"], "left")
+    per = g.groupBy("s1_id").agg(F.max(F.coalesce("_in", F.lit(1))).alias("miss"))
+    return per.join(owners.select("s1_id", "ctry"), "s1_id").groupBy("ctry").agg(F.avg("miss").alias("p_outside"))
+
+
+def risk_monitor(pairs: DataFrame, owners: DataFrame, sure: float, low: float, high: float) -> DataFrame:
+    """(ctry, same_per_s1, twins_per_s1): confident pairs whose rank score is poor,
+    and doubtful ones whose rank score is good, per reference of the country."""
+    n = owners.groupBy("ctry").agg(F.count("*").alias("n"))
+    count = lambda c: F.sum(c.cast("int")) / F.first("n")
+    yes = F.col("p") >= sure
+    return pairs.join(owners, "s1_id").join(n, "ctry").groupBy("ctry").agg(count(yes & (F.col("rk") < low)).alias("same_per_s1"), count(~yes & (F.col("rk") >= high)).alias("twins_per_s1"))

@@ -126,3 +126,96 @@ def importances(model, features: list[str]) -> list[tuple[str, float]]:
 
 def feature_columns(df: DataFrame, not_features: set[str]) -> list[str]:
     return [c for c in df.columns if c not in not_features]
+
+
+def sample_exactly(df: DataFrame, c: str, n: int, seed: int = 2) -> DataFrame:
+    """n rows without replacement, by a hash of c (ties by c): the same rows
+    whatever the partitioning.  n is the feature; a share is share_hash() < x."""
+    return df.orderBy(F.xxhash64(c, F.lit(seed)), c).limit(n)
+
+
+def inner_holdout(c: Column, parts: int = 10, seed: int = 6) -> Column:
+    """Whether an id belongs to the inner hold-out, one id in parts."""
+    return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(parts)) == 0
+
+
+def populations(references: DataFrame, ranker: DataFrame, audit: int, validation: float = 0.25 / 0.7, pool_all: bool = False) -> DataFrame:
+    """references (s1_id) with population: ranker (given), validation (a share of
+    the rest), audit (so many of what is left) or pool.  pool_all: all but the
+    audit rows are pool, for shortlists that no model cut by its own labels."""
+    rest = references.join(ranker.select("s1_id"), "s1_id", "left_anti")
+    chosen = sample_exactly(rest.where(share_hash(F.col("s1_id"), 12) >= validation), "s1_id", audit).select("s1_id", F.lit("audit").alias("_a"))
+    first = ranker.select("s1_id").distinct().withColumn("_r", F.lit("ranker"))
+    held = F.when(share_hash(F.col("s1_id"), 12) < validation, "validation").otherwise("pool")
+    kind = F.coalesce("_a", F.lit("pool")) if pool_all else F.coalesce("_a", "_r", held)
+    return references.join(chosen, "s1_id", "left").join(first, "s1_id", "left").withColumn("population", kind).drop("_a", "_r")
+
+
+def recap(pairs: DataFrame, n_s1: int = 20, n_cand: int = 1) -> DataFrame:
+    """Pairs among the n_s1 best rank scores of their reference, or the n_cand
+    best (above zero) of their record, or found by the exact-key view."""
+    a, b = Window.partitionBy("s1_id").orderBy(F.desc("rk"), "cand_id"), Window.partitionBy("cand_id").orderBy(F.desc("rk"), "s1_id")
+    ranked = pairs.withColumns({"_x": F.row_number().over(a), "_y": F.row_number().over(b)})
+    return ranked.where((F.col("_x") <= n_s1) | ((F.col("_y") <= n_cand) & (F.col("rk") > 0)) | (F.col("v_key") == 1)).drop("_x", "_y")
+
+
+def denser(pairs: DataFrame, ratio: DataFrame, context, n_s1: int = 20, n_cand: int = 1, seed: int = 5) -> DataFrame:
+    """A validation frame of the test's density: unowned records cloned with the
+    chance q of their country (ratio: ctry, q), lists cut again, context worked
+    out anew by context(frame)."""
+    q = pairs.join(F.broadcast(ratio) if ratio.limit(1001).count() <= 1000 else ratio, "ctry", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
+    return context(recap(add_clones(q, F.col("q"), seed).drop("q"), n_s1, n_cand))
+
+
+def cap_by_model(pairs: DataFrame, model, features: list[str], n_s1: int, n_cand: int) -> DataFrame:
+    """pairs with the model's rank score rk, cut to the best of either side."""
+    from .blocking import either_top
+
+    return either_top(predict(model, pairs, features, "rk"), "rk", n_s1, n_cand)
+
+
+class Folds:
+    """A stage of one model and one isotonic calibration for each fold of a key.
+    A row of the training keys is answered by the model that did not see its
+    fold; any other row by the mean over all folds."""
+
+    def __init__(self, df: DataFrame, features: list[str], key: str, k: int = 3, weight: str | None = None, seed: int = 1, **kw):
+        self.features, self.key, self.k, self.seed, self.parts = features, key, k, seed, []
+        for i in range(k):
+            mine = fold(F.col(key), k, seed) == i
+            model = fit_gbt(df.where(~mine), features, weight=weight, **kw)
+            iso = calibrate(predict(model, df.where(mine), features), "p", weight)
+            self.parts.append((model, iso))
+
+    def answer(self, df: DataFrame, i: int) -> DataFrame:
+        model, iso = self.parts[i]
+        return calibrated(iso, predict(model, df, self.features), "p")
+
+    def own(self, df: DataFrame) -> DataFrame:
+        """p of training rows, each from the model of its own fold."""
+        return reduce(DataFrame.unionByName, [self.answer(df.where(fold(F.col(self.key), self.k, self.seed) == i), i) for i in range(self.k)])
+
+    def mean(self, df: DataFrame) -> DataFrame:
+        """p of other rows: the mean of the calibrated answers of all folds."""
+        out = df
+        for i in range(self.k):
+            out = self.answer(out, i).withColumnRenamed("p", f"_p{i}")
+        return out.withColumn("p", sum(F.col(f"_p{i}") for i in range(self.k)) / self.k).drop(*[f"_p{i}" for i in range(self.k)])
+
+
+def with_external_scores(pairs: DataFrame, scores: DataFrame, key: str = "base_id", name: str = "ce") -> DataFrame:
+    """pairs with a further scorer's value; null where it gave none (the trees
+    read that as missing)."""
+    return pairs.join(scores.select("s1_id", key, name), ["s1_id", key], "left")
+
+
+def enriched(pairs: DataFrame, gold: DataFrame, owned: DataFrame, weights: DataFrame, k: int = 3) -> DataFrame:
+    """pairs (s1_id, cand_id, ctry) with base_id, y, decoy (its record has no
+    owner), wq (1 + the country's q, the mean q where there is none) and fold."""
+    base = pairs.withColumn("base_id", F.regexp_replace(F.col("cand_id").cast("string"), "~c$", "").cast(pairs.schema["cand_id"].dataType))
+    y = gold.select("s1_id", F.col("cand_id").alias("base_id")).distinct().withColumn("y", F.lit(1))
+    has = owned.select(F.col("cand_id").alias("base_id")).distinct().withColumn("_o", F.lit(True))
+    mean = weights.agg(F.coalesce(F.avg("q"), F.lit(0.0)).alias("_q"))  # one row
+    out = base.join(y, ["s1_id", "base_id"], "left").na.fill(0, ["y"]).join(has, "base_id", "left").join(weights.select("ctry", "q"), "ctry", "left").crossJoin(F.broadcast(mean))
+    out = out.withColumns({"decoy": F.col("_o").isNull(), "wq": 1 + F.coalesce("q", "_q"), "fold": fold(F.col("s1_id"), k)}).drop("_o", "q", "_q")
+    return out.withColumn("w", decoy_weight(F.col("wq") - 1))

@@ -67,3 +67,25 @@ def shape_report(df: DataFrame, key: str) -> DataFrame:
     """Rows, distinct keys and repeated keys."""
     per = df.groupBy(key).agg(F.count("*").alias("n"))
     return per.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.sum((F.col("n") > 1).cast("long")).alias("n_repeated"))
+
+
+def first_column_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The ids in the first column of a tab-separated file, without its header
+    and blank lines."""
+    lines = text_lines(spark, path).where("line > 0").where(F.trim("value") != "")
+    return lines.select(F.trim(F.split("value", "\t")[0]).alias("id"))
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line) of one text file; line is 0 for the first line and above it
+    for the others."""
+    return spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+
+
+def write_lines(header: str, lines: DataFrame, path: str) -> None:
+    """A header and the value column as one text file's parts: the header is the
+    first line of the first part."""
+    spark = lines.sparkSession
+    first = spark.createDataFrame([(0, header)], "o int, value string")
+    ordered = first.unionByName(lines.select(F.lit(1).alias("o"), "value")).repartitionByRange("o", "value").sortWithinPartitions("o", "value")
+    ordered.select("value").write.text(path)
