@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import sources
 from .functions import similarity as sim
 from .functions import text as tx
-from .operators import blocking, decode, evaluate, learn, ranking
+from .operators import blocking, decode, evaluate, features, learn, mining, prepare, ranking
 from .plans import RECORDS_SQL, gold, records, sides, table
 
 Q: dict = {}
@@ -32,6 +32,8 @@ def place(spark) -> str:
     """A folder that driver and executors share."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="erspark-")
@@ -123,14 +125,17 @@ def b1_country_key(spark, d):
     return table(spark, d, "nation").select("n_nationkey", tx.country_key(F.col("n_name")).alias("ctry"))
 
 
-@query("SELECT doc_id, replace(strip_accents(regexp_replace(text, '[^A-Za-zÀ-ÅÇ-ÏÑ-ÖÙ-Ýß-åç-ïñ-öù-ýÿ]', '', 'g')), 'ß', 'ss') AS ascii FROM documents")
+@query("SELECT doc_id, replace(strip_accents(regexp_replace(text, '[^\\x00-\\x7FÀ-ÅÇ-ÏÑ-ÖÙ-Ýß-åç-ïñ-öù-ýÿ]', '', 'g')), 'ß', 'ss') AS ascii FROM documents")
 def b3_romanise(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.romanise(F.regexp_replace("text", "[^A-Za-zÀ-ÅÇ-ÏÑ-ÖÙ-Ýß-åç-ïñ-öù-ýÿ]", "")).alias("ascii"))
+    return table(spark, d, "documents").select("doc_id", tx.romanise(F.regexp_replace("text", "[^\\x00-\\x7FÀ-ÅÇ-ÏÑ-ÖÙ-Ýß-åç-ïñ-öù-ýÿ]", "")).alias("ascii"))
 
 
-@query("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS name FROM customer")
+@query("""WITH c AS (SELECT c_custkey, concat('customer ', substr(c_name, 10)) AS n FROM customer)
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN concat('sas ', n) WHEN 1 THEN concat('obrien and ', n) WHEN 2 THEN concat(n, ' 12 bis') WHEN 3 THEN concat('5 ', n) ELSE concat('x ', n) END AS name FROM c""")
 def b4_base_clean(spark, d):
-    return table(spark, d, "customer").select("c_custkey", tx.base_clean(F.col("c_name")).alias("name"))
+    n, k = F.col("c_name"), F.col("c_custkey") % 5
+    raw = F.when(k == 0, F.concat(F.lit("S.A.S. "), n)).when(k == 1, F.concat(F.lit("O'Brien & "), n)).when(k == 2, F.concat(n, F.lit(" - 12bis"))).when(k == 3, F.concat(F.lit("5th  "), n)).otherwise(F.concat(F.lit("<NULL> m/s x@"), n))
+    return table(spark, d, "customer").select("c_custkey", tx.base_clean(raw).alias("name"))
 
 
 @query("SELECT page_id, regexp_extract(lower(url), '(?:https?://)?(?:www\\.)?([a-z0-9-]+)\\.(?:com|in|net|org|co|fr|us|biz|info|io)\\b', 1) AS stem FROM pages")
@@ -138,11 +143,13 @@ def b5_site_stem(spark, d):
     return table(spark, d, "pages").select("page_id", tx.site_stem(F.col("url")).alias("stem"))
 
 
-@query("SELECT s_suppkey, s_name AS name, concat('old ', s_suppkey) AS alt FROM supplier")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 2 THEN concat(s_name, ' trading as ') ELSE s_name END AS name,
+ CASE s_suppkey % 4 WHEN 0 THEN concat('old ', s_suppkey) WHEN 1 THEN 'Foo' ELSE '' END AS alt FROM supplier""")
 def b6_marker_split(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("old "), F.col("s_suppkey"), F.lit(" DBA: "), "s_name").alias("n"))
+    k, n = F.col("s_suppkey"), F.col("s_name")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("old "), k, F.lit(" DBA: "), n)).when(k % 4 == 1, F.concat(F.lit("Foo f / k/a "), n)).when(k % 4 == 2, F.concat(n, F.lit(" trading as "))).otherwise(n)
     name, alt = tx.marker_split(F.col("n"))
-    return s.select("s_suppkey", name.alias("name"), alt.alias("alt"))
+    return table(spark, d, "supplier").select("s_suppkey", raw.alias("n")).select("s_suppkey", name.alias("name"), alt.alias("alt"))
 
 
 @query("WITH {R} SELECT id, array_to_string(list_transform(string_split(name, ' '), lambda t: CASE t WHEN 'the' THEN 'le' WHEN 'of' THEN 'de' ELSE t END), ' ') AS name FROM rec")
@@ -156,11 +163,13 @@ def b8_strip_honorifics(spark, d):
     return records(spark, d).select("id", tx.join(tx.strip_lead(tx.words(F.col("name")), ("the", "le", "la", "les"))).alias("name"))
 
 
-@query("SELECT s_suppkey, lower(s_name) AS name, 'ltd pvt' AS legal FROM supplier")
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 2 THEN 'private' ELSE lower(s_name) END AS name,
+ CASE s_suppkey % 3 WHEN 0 THEN 'ltd pvt sarl' WHEN 1 THEN 'inc' ELSE 'ltd' END AS legal FROM supplier""")
 def b9_b11_legal_forms(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", F.split(F.concat(F.lit("sarl "), F.lower("s_name"), F.lit(" private limited")), " ").alias("t"))
+    k, n = F.col("s_suppkey") % 3, F.lower("s_name")
+    raw = F.when(k == 0, F.concat(F.lit("sarl "), n, F.lit(" private limited"))).when(k == 1, F.concat(n, F.lit(" incorporated l"))).otherwise("private limited")
     kept, forms = tx.strip_legal(F.col("t"))
-    return s.select("s_suppkey", tx.join(kept).alias("name"), tx.join(F.array_remove(forms, "sarl")).alias("legal"))
+    return table(spark, d, "supplier").select("s_suppkey", F.split(raw, " ").alias("t")).select("s_suppkey", tx.join(kept).alias("name"), tx.join(forms).alias("legal"))
 
 
 STOPS = ", ".join(f"'{x}'" for x in tx.NAME_STOP)
@@ -171,45 +180,35 @@ def b10_core_name(spark, d):
     return records(spark, d).where("name <> ''").select("id", tx.join(tx.core(tx.words(F.col("name")))).alias("core"))
 
 
-@query("WITH {R} SELECT id, CAST(len(string_split(addr, ' ')) AS BIGINT) AS n FROM rec WHERE addr <> ''")
-def b12_components(spark, d):
-    r = records(spark, d).where("addr <> ''")
-    return r.select("id", long(F.size(tx.words(F.array_join(tx.components(F.concat(F.lit("n/a, "), "addr", F.lit(", null"))), " ")))).alias("n"))
-
-
-@query("""WITH n AS (SELECT c_custkey, regexp_replace(regexp_extract(c_name, '\\d+'), '^0+(.)', '\\1') AS num, CAST(o.k AS VARCHAR) AS k FROM customer, (SELECT 560001 AS k) o)
-SELECT c_custkey, CASE WHEN length(num) <= 5 THEN num ELSE '' END AS house, k AS postal FROM n""")
+@query("""WITH n AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS num, CASE WHEN c_custkey % 2 = 0 THEN '560001' ELSE '90210' END AS k FROM customer)
+SELECT c_custkey, CASE WHEN length(num) <= 5 THEN num WHEN k = '90210' THEN k ELSE '' END AS house,
+ array_to_string(list_sort(list_distinct(list_filter([CASE WHEN length(num) = 6 THEN num END, CASE WHEN k = '560001' OR length(num) <= 5 THEN k END], lambda x: x IS NOT NULL))), ' ') AS postal FROM n""")
 def b13_b14_house_postal(spark, d):
-    nums = tx.numbers(F.concat("c_name", F.lit(", 560001")))
+    nums = tx.numbers(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, ", 560001").otherwise(", 90210-")))
     house, postal = tx.house_postal(nums)
     return table(spark, d, "customer").select("c_custkey", house.alias("house"), tx.join(postal).alias("postal"))
 
 
-@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS unit, concat('near gate ', c_custkey) AS landmark FROM customer")
-def b15_units_landmark(spark, d):
-    a = F.concat(F.lit("flat no "), F.col("c_custkey"), F.lit(" main rd near gate "), F.col("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", tx.join(tx.units(a)).alias("unit"), tx.landmark(a).alias("landmark"))
-
-
-def _skeleton_sql() -> str:
-    out = "t"
-    for a, b in tx.DIGRAPHS:
-        out = f"replace({out}, '{a}', '{b}')"
-    folded = "list_transform(list_filter(string_split(name, ' '), lambda t: t <> ''), lambda t: " + out + ")"
-    inner = "list_transform(" + folded + ", lambda t: concat(substr(t, 1, 1), regexp_replace(substr(t, 2), '[aeiou]', '', 'g')))"
-    squeeze = "list_transform(" + inner + ", lambda t: array_to_string(list_filter(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN i > 1 AND substr(t, i, 1) = substr(t, i - 1, 1) THEN '' ELSE substr(t, i, 1) END), lambda c: c <> ''), ''))"
-    return "WITH {R} SELECT id, array_to_string(" + squeeze + ", ' ') AS skeleton FROM rec"
+FOLDED = "t"
+for _pair in ("aa a", "ee i", "oo u", "ou u", "sh s", "ch c", "th t", "dh d", "bh b", "kh k", "gh g", "ph f", "w v", "z j", "q k", "ck k", "x ks"):
+    FOLDED = "replace({}, '{}', '{}')".format(FOLDED, *_pair.split())
+SKELETON_SQL = (
+    "WITH {R}, wd AS (SELECT id, unnest(list_filter(string_split(name, ' '), lambda t: t <> '')) AS t, generate_subscripts(list_filter(string_split(name, ' '), lambda t: t <> ''), 1) AS i FROM rec),"
+    " f AS (SELECT id, i, " + FOLDED + " AS t FROM wd), g AS (SELECT id, i, concat(substr(t, 1, 1), regexp_replace(substr(t, 2), '[aeiouy]', '', 'g')) AS t FROM f),"
+    " h AS (SELECT id, i, array_to_string(list_filter(list_transform(range(1, length(t) + 1), lambda k: CASE WHEN k = 1 OR substr(t, k, 1) <> substr(t, k - 1, 1) THEN substr(t, k, 1) ELSE '' END), lambda c: c <> ''), '') AS t FROM g)"
+    " SELECT rec.id, coalesce(string_agg(h.t, ' ' ORDER BY i), '') AS skeleton FROM rec LEFT JOIN h USING (id) GROUP BY rec.id"
+)
 
 
-@query(_skeleton_sql())
+@query(SKELETON_SQL)
 def b16_skeleton(spark, d):
     return records(spark, d).select("id", tx.skeleton(F.col("name")).alias("skeleton"))
 
 
-@query("SELECT doc_id, CAST(0 AS INT) AS native FROM documents WHERE NOT regexp_matches(text, '[^\\x{0}-\\x{24F}]')")
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 OR regexp_matches(text, '[\\x{250}-\\x{10FFFF}]') AND regexp_matches(regexp_replace(text, '[\\x{0}-\\x{24F}]', '', 'g'), '\\p{L}') THEN 1 ELSE 0 END AS INT) AS native FROM documents")
 def b17_native_script(spark, d):
-    t = table(spark, d, "documents").where(~F.col("text").rlike("[^\\x{0}-\\x{24F}]"))
-    return t.select("doc_id", tx.is_native(F.col("text")).alias("native"))
+    marked = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " дом 東").otherwise(" 12° é"))
+    return table(spark, d, "documents").select("doc_id", tx.is_native(marked).alias("native"))
 
 
 @query("WITH {R}, t AS (SELECT id, list_filter(string_split(name, ' '), lambda x: x <> '') AS ws FROM rec) SELECT id, array_to_string(list_transform(list_filter(ws, lambda x: NOT regexp_matches(x, '^\\d+$')), lambda x: substr(x, 1, 1)), '') AS acronym, array_to_string(list_sort(list_filter(ws, lambda x: regexp_matches(x, '\\d'))), ' ') AS nums FROM t")
@@ -228,7 +227,7 @@ def b25_half_hash(spark, d):
     return records(spark, d).groupBy(tx.half(F.col("id")).alias("half")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH {R} SELECT CASE WHEN NOT regexp_matches(name, '\\p{L}') THEN '' WHEN regexp_matches(regexp_replace(name, '\\p{Latin}', '', 'g'), '\\p{L}') THEN 'OTHER' ELSE 'LATIN' END AS script, count(*) AS n FROM rec GROUP BY 1")
 def b27_script(spark, d):
     return records(spark, d).groupBy(tx.script(F.col("name")).alias("script")).agg(F.count("*").alias("n"))
 
@@ -236,10 +235,7 @@ def b27_script(spark, d):
 @query("""WITH {R}, t AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS tok FROM rec), f AS (SELECT tok, count(*) AS df FROM t WHERE length(tok) > 3 GROUP BY 1 HAVING count(*) <= 200)
 SELECT id, tok, df FROM (SELECT id, tok, df, row_number() OVER (PARTITION BY id ORDER BY df, tok) AS r FROM t JOIN f USING (tok)) WHERE r <= 2""")
 def b29_rarest_tokens(spark, d):
-    t = records(spark, d).select("id", F.explode(F.array_distinct(F.split("name", " "))).alias("tok")).where("length(tok) > 3")
-    f = t.groupBy("tok").agg(F.count("*").alias("df")).where("df <= 200")
-    w = Window.partitionBy("id").orderBy("df", "tok")
-    return t.join(f, "tok").withColumn("r", F.row_number().over(w)).where("r <= 2").select("id", "tok", "df")
+    return blocking.rarest_tokens(records(spark, d).select("id", F.split("name", " ").alias("t")), "id", "t")
 
 
 # -- filters, joins, sets -----------------------------------------------------
@@ -249,9 +245,10 @@ def c3_c4_heavy_key_filter(spark, d):
     return blocking.limited_keys(s1, ["ctry", "name"], 2).groupBy("ctry", "name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def c2_anti_join(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    o = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'mid' ELSE 'large' END AS bucket FROM part WHERE p_retailprice BETWEEN 905 AND 1500")
@@ -295,16 +292,13 @@ def d7_d11_label_join(spark, d):
 
 @query("SELECT x.l_orderkey, x.l_linenumber, count(*) AS siblings FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber <> y.l_linenumber AND y.l_discount >= 0.05 GROUP BY ALL")
 def d9_c11_sibling_join(spark, d):
-    li = table(spark, d, "lineitem")
-    conf = li.where("l_discount >= 0.05").select("l_orderkey", F.col("l_linenumber").alias("other"))
-    return li.select("l_orderkey", "l_linenumber").join(conf, "l_orderkey").where("l_linenumber <> other").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("siblings"))
+    return blocking.sibling_counts(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_discount") >= 0.05)
 
 
 @query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 = 0) AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 100 = 0)")
 def d10_competitor_join(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    mine = li.where("l_orderkey % 100 = 0")
-    return li.join(mine.select("l_partkey"), "l_partkey", "left_semi").join(mine.select("l_orderkey"), "l_orderkey", "left_anti").select("l_orderkey", "l_partkey")
+    return blocking.competitors(li, li.where("l_orderkey % 100 = 0"), "l_orderkey", "l_partkey")
 
 
 @query("""WITH {R}, x AS (SELECT DISTINCT s1_id, unnest(string_split(name, ' ')) AS tok FROM a), y AS (SELECT DISTINCT cand_id, unnest(string_split(name, ' ')) AS tok FROM b),
@@ -312,10 +306,7 @@ def d10_competitor_join(spark, d):
 SELECT DISTINCT s1_id, cand_id FROM x JOIN f USING (tok) JOIN y USING (tok)""")
 def d13_inverted_index_join(spark, d):
     a, b = sides(spark, d)
-    x = a.select("s1_id", F.explode(F.array_distinct(F.split("name", " "))).alias("tok"))
-    y = b.select("cand_id", F.explode(F.array_distinct(F.split("name", " "))).alias("tok"))
-    f = x.select("tok").unionByName(y.select("tok")).where("length(tok) > 5").groupBy("tok").agg(F.count("*").alias("n")).where("n <= 30").drop("n")
-    return x.join(f, "tok").join(y, "tok").select("s1_id", "cand_id").distinct()
+    return blocking.shared_token_pairs(a.select("s1_id", F.split("name", " ").alias("tokens")), b.select("cand_id", F.split("name", " ").alias("tokens")), 5, 30)
 
 
 @query("""WITH {R}, x AS (SELECT *, string_split(addr, ' ') AS t FROM a), y AS (SELECT *, string_split(addr, ' ') AS t FROM b)
@@ -434,16 +425,13 @@ SELECT tok, kind, count(*) AS n FROM (SELECT unnest(list_filter(x, lambda t: NOT
 def e27_token_census(spark, d):
     a, b = sides(spark, d)
     p = a.select("ctry", "addr", F.split("name", " ").alias("x")).where("addr <> ''").join(b.select("ctry", "addr", F.split("name", " ").alias("y")), ["ctry", "addr"])
-    side = lambda u, v, k: p.select(F.explode(F.array_except(u, v)).alias("tok"), F.lit(k).alias("kind"))
-    return side("x", "y", "dropped").unionByName(side("y", "x", "added")).groupBy("tok", "kind").agg(F.count("*").alias("n"))
+    return evaluate.token_census(p, "x", "y")
 
 
 @query("""WITH s AS (SELECT l_returnflag AS k, avg((l_discount > 0.05)::INT) AS a, avg((l_tax > 0.04)::INT) AS b FROM lineitem GROUP BY 1)
 SELECT k, round(greatest(least((b / (1 - b)) / (a / (1 - a)), 4), 0.25), 6) AS odds FROM s""")
 def e28_prior_odds(spark, d):
-    s = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.avg((F.col("l_discount") > 0.05).cast("int")).alias("a"), F.avg((F.col("l_tax") > 0.04).cast("int")).alias("b"))
-    odds = lambda c: F.col(c) / (1 - F.col(c))
-    return s.select("k", r6(F.greatest(F.least(odds("b") / odds("a"), F.lit(4.0)), F.lit(0.25))).alias("odds"))
+    return evaluate.prior_odds(table(spark, d, "lineitem"), "l_returnflag", F.col("l_discount") > 0.05, F.col("l_tax") > 0.04).select("k", r6("odds").alias("odds"))
 
 
 # -- windows ------------------------------------------------------------------
@@ -593,7 +581,10 @@ def j13_number_close(spark, d):
     return x.join(y, "o").select("o", "i", "j", sim.number_close(F.col("a"), F.col("b")).alias("close"))
 
 
-@query()
+@query("""WITH p AS (SELECT l_orderkey, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS a, list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))) AS b FROM lineitem GROUP BY 1),
+ z AS (SELECT l_orderkey, a, b, list_transform(a, lambda x: list_max(list_transform(b, lambda y: CASE WHEN x = y THEN 1.0 WHEN length(x) >= 2 AND length(y) >= 2 AND (starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x)) THEN 0.8 WHEN abs(CAST(x AS BIGINT) - CAST(y AS BIGINT)) <= 10 THEN 0.6 ELSE 0.0 END::DOUBLE))) AS best,
+  len(list_filter(range(1, length(a[1]) + 1), lambda i: substr(a[1], i, 1) <> substr(b[1], i, 1))) AS differ FROM p)
+SELECT l_orderkey, round(list_sum(best) / len(a), 6) AS cover, CAST(CASE WHEN length(a[1]) = length(b[1]) AND differ = 1 THEN 1 ELSE 0 END AS INT) AS house_sub1 FROM z""")
 def j14_j21_number_cover_and_house(spark, d):
     p = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("a"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("b"))
     return p.select("l_orderkey", r6(sim.number_cover(F.col("a"), F.col("b"))).alias("cover"), sim.house_one_digit(F.col("a")[0], F.col("b")[0]).alias("house_sub1"))
@@ -679,12 +670,10 @@ def k33_cap_sweep(spark, d):
 def e29_shortlist_misses(spark, d):
     a, b = sides(spark, d)
     keys = ["ctry", "name", "addr"]
-    p = a.join(b.select("cand_id", *keys), keys).select("s1_id", "cand_id").distinct().withColumn("_in", F.lit(1))
-    g = gold(spark, d).join(p, ["s1_id", "cand_id"], "left").groupBy("s1_id").agg(F.max(F.col("_in").isNull().cast("int")).alias("miss"))
-    return g.join(a.select("s1_id", "ctry"), "s1_id").groupBy("ctry").agg(r6(F.avg("miss")).alias("p_outside"))
+    p = a.select("s1_id", *keys).join(b.select("cand_id", *keys), keys).select("s1_id", "cand_id")
+    return evaluate.shortlist_misses(p, gold(spark, d), a).select("ctry", r6("p_outside").alias("p_outside"))
 
 
-# -- the rest of the inventory ------------------------------------------------
 @query("WITH {R} SELECT s1_id, cand_id FROM a JOIN b USING (digest)")
 def a5_truth_cache(spark, d):
     return sources.cached_stage(spark, place(spark), lambda: gold(spark, d))
@@ -712,11 +701,38 @@ def b2_number_signs(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.trim(F.regexp_replace(tx.drop_number_signs(raw), " +", " ")).alias("t"))
 
 
-@query("""SELECT c_custkey, lower(c_mktsegment) AS ctry, trim(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS name, replace(trim(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ', '') AS glued,
- regexp_replace(regexp_extract(c_name, '\\d+'), '^0+(.)', '\\1') AS nums FROM customer""")
-def b19_b20_prepare(spark, d):
-    name = tx.base_clean(F.col("c_name"))
-    return table(spark, d, "customer").select("c_custkey", tx.country_key(F.col("c_mktsegment")).alias("ctry"), name.alias("name"), tx.no_space(name).alias("glued"), F.array_join(tx.numbers(name), " ").alias("nums"))
+PREPARED_SQL = """WITH c AS (SELECT c_custkey AS k, lower(c_mktsegment) AS g, CAST(c_custkey AS VARCHAR) AS n FROM customer),
+ x AS (SELECT k, g, n, CASE g WHEN 'building' THEN 'bldng' WHEN 'automobile' THEN 'atmbl' WHEN 'machinery' THEN 'mcnr' WHEN 'household' THEN 'hshld' ELSE 'frntr' END AS sk, g[1] AS i FROM c)
+SELECT k AS c_custkey, CASE k % 5 WHEN 2 THEN 'us' WHEN 3 THEN 'unk' WHEN 4 THEN 'fr' ELSE 'in' END AS ctry,
+ CASE k % 6 WHEN 0 THEN g || ' sons' WHEN 1 THEN 'elan foods' WHEN 3 THEN g || ' 24x7 shop' WHEN 4 THEN 'deoem ' || g ELSE g END AS name_n,
+ CASE k % 6 WHEN 0 THEN 'ltd pvt' WHEN 1 THEN 'llc' WHEN 3 THEN 'pvt' ELSE '' END AS legal,
+ CASE k % 6 WHEN 1 THEN g || ' traders' ELSE '' END AS name_alt, CASE k % 6 WHEN 2 THEN g WHEN 3 THEN g || '-shop' ELSE '' END AS web,
+ CASE k % 5 WHEN 0 THEN n || ' udyog nr mall gurgaon 122016' WHEN 1 THEN 'flat 12b mg rd bangalore' WHEN 2 THEN n || ' main st ste 5 austin' WHEN 3 THEN '' ELSE '12 bis rue paix 75002 paris' END AS addr,
+ CASE k % 5 WHEN 0 THEN 'udyog nr mall gurgaon' WHEN 1 THEN 'flat mg rd bangalore' WHEN 2 THEN 'main st ste austin' WHEN 3 THEN '' ELSE 'bis rue paix paris' END AS addr_words,
+ CASE k % 5 WHEN 0 THEN 'haryana' WHEN 2 THEN 'tx' ELSE '' END AS state, CASE k % 5 WHEN 0 THEN CASE WHEN length(n) = 6 THEN array_to_string(list_sort([n, '122016']), ' ') ELSE '122016' END WHEN 4 THEN '75002' WHEN 2 THEN CASE WHEN length(n) = 6 THEN n ELSE '' END ELSE '' END AS postal,
+ CASE k % 5 WHEN 0 THEN CASE WHEN length(n) <= 5 THEN n ELSE '' END WHEN 1 THEN '12' WHEN 2 THEN CASE WHEN length(n) <= 5 THEN n ELSE '5' END WHEN 3 THEN '' ELSE '12' END AS house,
+ CASE k % 5 WHEN 1 THEN '12b' WHEN 2 THEN '5' ELSE '' END AS units, CASE k % 5 WHEN 0 THEN 'nr city mall' ELSE '' END AS landmark,
+ CASE k % 5 WHEN 0 THEN array_to_string(list_sort([n, '122016']), ' ') WHEN 1 THEN '12' WHEN 2 THEN array_to_string(list_sort(list_distinct([n, '5'])), ' ') WHEN 3 THEN '' ELSE '12 75002' END AS nums,
+ CASE k % 6 WHEN 0 THEN sk || ' sns' WHEN 1 THEN 'eln fds' WHEN 3 THEN sk || ' 24ks7 sp' WHEN 4 THEN 'dm ' || sk ELSE sk END AS name_sk,
+ CASE k % 6 WHEN 0 THEN i || 's' WHEN 1 THEN 'ef' WHEN 3 THEN i || '2s' WHEN 4 THEN 'd' || i ELSE i END AS name_acr, CASE k % 6 WHEN 3 THEN '24x7' ELSE '' END AS name_nums,
+ CAST(CASE k % 6 WHEN 4 THEN 1 ELSE 0 END AS INT) AS native FROM x"""
+
+
+@query(PREPARED_SQL)
+def b12_b15_b19_b20_prepare(spark, d):
+    k, g, n = F.col("c_custkey"), F.lower("c_mktsegment"), F.col("c_custkey").cast("string")
+    say = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    case = lambda m, options: reduce(lambda w, o: w.when(k % m == o[0], o[1]), list(enumerate(options))[1:], F.when(k % m == 0, options[0]))
+    names = [say("M/s. The ", g, " & Sons Pvt. Ltd."), say(g, " Traders D.B.A.: Élan Foods LLC"), say("WWW.", g, ".com"), say("Private ", g, " 24x7 Shop | https://", g, "-shop.in/x"), say("дом ", g), say(" ", g, " ")]
+    places = [
+        say("#0", n, " Udyog Vihar, Near City Mall, Gurugram 122016, Haryana"), F.lit("Flat No 12B, MG Road, PO Box 77, N/A, Bengaluru"), say(n, " Main Street, Suite 5, Austin, TX, Texas"), F.lit(""),
+        F.lit("12 bis rue de la Paix, N° 75002 Paris"),
+    ]
+    raw = table(spark, d, "customer").select(k.alias("entity_id"), case(6, names).alias("business_name"), case(5, places).alias("business_address"), case(5, [F.lit(" IN "), F.lit("in"), F.lit("US"), F.lit(""), F.lit("Fr")]).alias("country"))
+    terms = [("in", "haryana", "state"), ("in", "vihar", "noise"), ("us", "tx", "state"), ("us", "texas", "alias")]
+    out = prepare.prepare(raw, spark.createDataFrame(terms, "ctry string, term string, kind string"))
+    lists = {c: tx.join(F.col(c)) for c in ("legal", "postal", "units", "nums", "name_nums")}
+    return out.select(F.col("entity_id").alias("c_custkey"), "ctry", *[lists[c].alias(c) if c in lists else F.col(c) for c in prepare.FIELDS])
 
 
 @query("WITH {R} SELECT CAST(id AS VARCHAR) AS base_id, concat(name, '|', addr) AS k FROM rec")
@@ -798,14 +814,15 @@ def e30_auc_log_loss(spark, d):
     return learn.auc_log_loss(p).select(r6("auc").alias("auc"), r6("log_loss").alias("log_loss"))
 
 
-@query("""WITH {R} SELECT a.ctry, count(*) AS n, round(avg((a.name = b.name)::INT), 6) AS name_exact, round(avg((b.addr = '')::INT), 6) AS addr_empty, round(avg((a.addr = b.addr)::INT), 6) AS addr_exact,
- round(avg((NOT list_has_any(string_split(a.addr, ' '), string_split(b.addr, ' ')))::INT), 6) AS disjoint FROM a JOIN b ON a.ctry = b.ctry AND a.name = b.name WHERE a.name <> '' GROUP BY 1""")
+@query("""WITH {R}, p AS (SELECT a.ctry, a.s1_id, b.cand_id, a.name AS n, b.name AS m, a.addr AS l, b.addr AS r FROM a JOIN b ON a.ctry = b.ctry AND string_split(a.addr, ' ')[1] = string_split(b.addr, ' ')[1] AND a.addr <> '')
+SELECT ctry, count(*) AS n, round(avg((n = m)::INT), 6) AS name_exact, round(avg((r = '')::INT), 6) AS addr_empty,
+ round(avg(CASE WHEN len(x) > 0 AND len(y) > 0 AND NOT list_has_any(x, y) THEN 1 ELSE 0 END), 6) AS nums_disjoint FROM (SELECT *, regexp_extract_all(l, '[0-9]+') AS x, regexp_extract_all(r, '[0-9]+') AS y FROM p) GROUP BY 1""")
 def e31_noise_census(spark, d):
     a, b = sides(spark, d)
-    m = a.where("name <> ''").select("ctry", "name", F.col("addr").alias("x")).join(b.select("ctry", "name", F.col("addr").alias("y")), ["ctry", "name"])
-    share = lambda c: r6(F.avg(c.cast("int")))
-    apart = ~F.arrays_overlap(F.split("x", " "), F.split("y", " "))
-    return m.groupBy("ctry").agg(F.count("*").alias("n"), r6(F.lit(1.0)).alias("name_exact"), share(F.col("y") == "").alias("addr_empty"), share(F.col("x") == F.col("y")).alias("addr_exact"), share(apart).alias("disjoint"))
+    first = F.split("addr", " ")[0]
+    fields = lambda df, k, side: df.select(k, "ctry", first.alias("f"), F.col("name").alias(f"{side}_name_n"), F.col("addr").alias(f"{side}_addr"), F.regexp_extract_all("addr", F.lit("([0-9]+)"), 1).alias(f"{side}_nums"), F.lit(0).alias(f"{side}_native"), F.lit("").alias(f"{side}_web"))
+    p = fields(a, "s1_id", "l").where("l_addr <> ''").join(fields(b, "cand_id", "r"), ["ctry", "f"])
+    return evaluate.noise_census(p, ["ctry"]).select("ctry", "n", *[r6(c).alias(c) for c in ("name_exact", "addr_empty", "nums_disjoint")])
 
 
 @query("""WITH {R}, k AS (SELECT DISTINCT ctry, name, unnest(string_split(addr, ' ')) AS t FROM a), h AS (SELECT DISTINCT cand_id FROM (SELECT cand_id, ctry, name, unnest(string_split(addr, ' ')) AS t FROM b) JOIN k USING (ctry, name, t))
@@ -896,10 +913,8 @@ def k27_attribution(spark, d):
 @query(f"WITH {OWNED_SQL}, w AS (SELECT o_orderpriority AS ctry, count(*) AS n FROM orders GROUP BY 1) SELECT ctry, round(sum((p >= 0.05 AND rk < 0.03)::INT) / any_value(n), 6) AS same_per_s1, round(sum((p < 0.05 AND rk >= 0.06)::INT) / any_value(n), 6) AS twins_per_s1 FROM p JOIN orders ON o_orderkey = s1_id JOIN w ON o_orderpriority = ctry GROUP BY 1")
 def k29_risk_monitor(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("s1_id"), F.col("o_orderpriority").alias("ctry"))
-    n = o.groupBy("ctry").agg(F.count("*").alias("n"))
-    count = lambda c: r6(F.sum(c.cast("int")) / F.first("n"))
-    high = F.col("p") >= 0.05
-    return scored_pairs(spark, d).join(o, "s1_id").join(n, "ctry").groupBy("ctry").agg(count(high & (F.col("rk") < 0.03)).alias("same_per_s1"), count(~high & (F.col("rk") >= 0.06)).alias("twins_per_s1"))
+    out = evaluate.risk_monitor(scored_pairs(spark, d), o, 0.05, 0.03, 0.06)
+    return out.select("ctry", r6("same_per_s1").alias("same_per_s1"), r6("twins_per_s1").alias("twins_per_s1"))
 
 
 @query(f"WITH {OWNED_SQL} SELECT s1_id, cand_id FROM p WHERE p > 0.005 AND p < 0.095 AND s1_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)")
@@ -968,3 +983,190 @@ def k14_leave_one_country_out(spark, d):
 def k34_importances(spark, d):
     names = ["nr", "aj"]
     return spark.createDataFrame(learn.importances(learn.fit_gbt(labelled_pairs(spark, d), names, 2, 2), names), "feature string, gain double")
+
+
+# -- learnt rewrites, the pair frame, stages ----------------------------------
+@query(f"""WITH l AS (SELECT l_orderkey AS s1_id, l_partkey AS cand_id, l_returnflag AS ctry, max(l_tax) * 12.5 AS rk, concat('p', min(l_suppkey) % 3) AS ours, CASE WHEN min(l_suppkey) % 5 = 0 THEN '' ELSE concat('q', min(l_suppkey) % 12) END AS theirs FROM lineitem GROUP BY 1, 2, 3),
+ t AS (SELECT * FROM l WHERE rk >= 0.5 QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY rk DESC, s1_id, ctry) = 1), c AS (SELECT ctry, theirs, ours, count(*) AS n FROM t WHERE theirs <> '' GROUP BY ALL)
+SELECT ctry, theirs, ours, n, round(n / s, 6) AS share FROM (SELECT *, sum(n) OVER w AS s, row_number() OVER (PARTITION BY ctry, theirs ORDER BY n DESC, ours) AS r FROM c WINDOW w AS (PARTITION BY ctry, theirs)) WHERE r = 1 AND n >= 2 AND n / s >= 0.5""")
+def e6_area_aliases(spark, d):
+    least = F.min("l_suppkey")
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("s1_id"), F.col("l_partkey").alias("cand_id"), F.col("l_returnflag").alias("ctry")).agg(
+        (F.max("l_tax") * 12.5).alias("rk"), F.concat(F.lit("p"), least % 3).alias("ours"), F.when(least % 5 == 0, "").otherwise(F.concat(F.lit("q"), least % 12)).alias("theirs"))
+    first = x.groupBy("s1_id", "cand_id", "rk").agg(F.min_by(F.struct("ctry", "ours", "theirs"), "ctry").alias("z")).select("s1_id", "cand_id", "rk", "z.*")
+    return mining.area_aliases(first, 0.5, 2, 0.5).select("ctry", "theirs", "ours", "n", r6("share").alias("share"))
+
+
+@query("""WITH {R}, p AS (SELECT string_split(a.name, ' ') AS x, string_split(b.name, ' ') AS y FROM a JOIN b USING (ctry, addr) WHERE addr <> '' AND a.name <> ''),
+ z AS (SELECT unnest(y) AS word, unnest(x) AS "to" FROM p WHERE len(x) = len(y)), c AS (SELECT word, "to", count(*) AS n FROM z WHERE word <> "to" AND NOT regexp_full_match(word, '[0-9]+') GROUP BY ALL)
+SELECT word, "to", n, round(n / s, 6) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY word) AS s, row_number() OVER (PARTITION BY word ORDER BY n DESC, "to") AS r FROM c) WHERE r = 1 AND n >= 1 AND n / s >= 0.6""")
+def e7_word_rewrites(spark, d):
+    a, b = sides(spark, d)
+    p = a.where("addr <> '' and name <> ''").select("ctry", "addr", F.split("name", " ").alias("ours")).join(b.select("ctry", "addr", F.split("name", " ").alias("theirs")), ["ctry", "addr"])
+    return mining.word_rewrites(p, 1).select("word", "to", "n", r6("share").alias("share"))
+
+
+@query(f"WITH {OWNED_SQL} SELECT s1_id, cand_id, p, max(l_quantity) AS ce FROM p LEFT JOIN lineitem ON l_orderkey = s1_id AND l_partkey = cand_id AND l_linenumber = 2 GROUP BY ALL")
+def d8_external_scores(spark, d):
+    ce = table(spark, d, "lineitem").where("l_linenumber = 2").groupBy(F.col("l_orderkey").alias("s1_id"), F.col("l_partkey").alias("cand_id")).agg(F.max("l_quantity").alias("ce"))
+    return learn.with_external_scores(scored_pairs(spark, d).select("s1_id", "cand_id", "p"), ce, "cand_id")
+
+
+@query("SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS n_ids, CAST(0 AS BIGINT) AS n_unknown")
+def g5_exact_sample(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    x = learn.sample_exactly(o, "o_orderkey", 50).join(o.withColumnRenamed("o_orderkey", "k"), F.col("k") == F.col("o_orderkey"), "left")
+    return x.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_ids"), F.count(F.when(F.col("k").isNull(), 1)).alias("n_unknown"))
+
+
+@query()
+def g9_inner_holdout(spark, d):
+    return table(spark, d, "orders").groupBy(learn.inner_holdout(F.col("o_orderkey")).alias("held")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'audit' AS population, CAST(20 AS BIGINT) AS n UNION ALL SELECT 'ranker', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'rest', (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') - 20")
+def k8_populations(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("s1_id"), "c_mktsegment")
+    out = learn.populations(c.select("s1_id"), c.where("c_mktsegment = 'BUILDING'"), 20)
+    kind = F.when(F.col("population").isin("pool", "validation"), "rest").otherwise(F.col("population"))
+    return out.groupBy(kind.alias("population")).agg(F.count("*").alias("n"))
+
+
+def entities(spark, d):
+    """The records as raw rows, prepared: (references, candidates)."""
+    a, b = sides(spark, d)
+    raw = lambda df, k: df.select(F.col(k).alias("entity_id"), F.col("name").alias("business_name"), F.col("addr").alias("business_address"), F.col("ctry").alias("country"))
+    x, y = prepare.components(raw(a, "s1_id")), prepare.components(raw(b, "cand_id"))
+    words = written(blocking.admin_vocabulary(y.select("ctry", "comps"), x.select("ctry", "comps")))
+    return written(prepare.prepare(raw(a, "s1_id"), words)), written(prepare.prepare(raw(b, "cand_id"), words))
+
+
+def pair_frame(spark, d):
+    """Pairs of the blocking views with every feature; rk: the best view's score."""
+    a, b = sides(spark, d)
+    views = blocking.block(a, b, {"words": tx.words, "grams": tx.char_grams})
+    keyed = blocking.with_flag(views, blocking.key_pairs(a, b, ["ctry", "name"]), "v_key", [f"v_{v}" for v in blocking.VIEWS])
+    pairs = written(keyed.withColumn("rk", F.greatest(*[f"v_{v}" for v in blocking.VIEWS])))
+    x, y = entities(spark, d)
+    return written(features.density(features.pair_features(pairs, x, y), x, y))
+
+
+@query()
+def j1_j23_pair_frame(spark, d):
+    return pair_frame(spark, d)
+
+
+@query("""WITH {R}, t AS (SELECT DISTINCT id, ctry, unnest(string_split(name, ' ')) AS tok FROM rec WHERE name <> ''), n AS (SELECT ctry, count(*) + 1 AS n FROM rec GROUP BY 1),
+ ww AS (SELECT t.ctry, tok, ln(any_value(n.n) / (1 + count(*))) AS w FROM t JOIN n USING (ctry) GROUP BY t.ctry, tok), m AS (SELECT t.id, tok, w FROM t JOIN ww USING (ctry, tok)), tot AS (SELECT id, sum(w) AS s FROM m GROUP BY 1),
+ p AS (SELECT s1_id, cand_id FROM a JOIN b USING (ctry) WHERE string_split(a.addr, ' ')[1] = string_split(b.addr, ' ')[1] AND a.addr <> '' AND a.name <> '' AND b.name <> ''),
+ sh AS (SELECT s1_id, cand_id, sum(x.w) AS s, max(x.w) AS m FROM p JOIN m x ON x.id = s1_id JOIN m y ON y.id = cand_id AND y.tok = x.tok GROUP BY ALL),
+ v AS (SELECT DISTINCT ctry, unnest(string_split(name, ' ')) AS tok FROM a), kf AS (SELECT id, avg((v.tok IS NOT NULL)::INT) AS f FROM (SELECT id, ctry, unnest(string_split(name, ' ')) AS tok FROM rec WHERE NOT s1) r LEFT JOIN v USING (ctry, tok) GROUP BY 1)
+SELECT p.s1_id, p.cand_id, round(coalesce(sh.s / (l.s + r.s - sh.s), 0), 5) AS n_idfj, round(coalesce(sh.s, 0), 5) AS n_idfw, round(coalesce(sh.m, 0), 5) AS n_idfmax, round(kf.f, 5) AS r_known_frac
+FROM p JOIN tot l ON l.id = p.s1_id JOIN tot r ON r.id = p.cand_id JOIN kf ON kf.id = p.cand_id LEFT JOIN sh ON sh.s1_id = p.s1_id AND sh.cand_id = p.cand_id""")
+def j9_j10_idf_overlap(spark, d):
+    a, b = sides(spark, d)
+    first = F.split("addr", " ")[0]
+    frame = lambda df, k: df.select(F.col(k).alias("entity_id"), "ctry", F.col("name").alias("name_n"), first.alias("f"))
+    x, y = features.rarity(frame(a, "s1_id"), frame(b, "cand_id"), "name_n", "ws")
+    y = features.known_share(x, y)
+    p = x.where("name_n <> '' and f <> ''").select(F.col("entity_id").alias("s1_id"), "ctry", "f", F.col("ws").alias("l")).join(y.where("name_n <> ''").select(F.col("entity_id").alias("cand_id"), "ctry", "f", F.col("ws").alias("r"), "r_known_frac"), ["ctry", "f"])
+    j, w, top = features.overlap(F.col("l"), F.col("r"))
+    r5 = lambda c: F.round(c, 5)
+    return p.select("s1_id", "cand_id", r5(j).alias("n_idfj"), r5(w).alias("n_idfw"), r5(top).alias("n_idfmax"), r5(F.col("r_known_frac")).alias("r_known_frac"))
+
+
+MODEL = ["n_ratio", "a_ratio", "n_idfj", "aw_idfj", "na_prod_rank_s1", "na_prod_gap_c"]
+
+
+@query()
+def f5_k1_k2_ranker_and_cap(spark, d):
+    """A ranker fitted on three tenths of the references, out of fold on them and
+    the mean of its folds elsewhere, cuts the lists."""
+    x = written(learn.add_labels(pair_frame(spark, d).drop("rk"), gold(spark, d)))
+    mine = learn.share_hash(F.col("s1_id"), 11) < 0.3
+    folds = learn.Folds(x.where(mine), MODEL, "s1_id", 2, rounds=2, depth=3)
+    scored = folds.own(x.where(mine)).unionByName(folds.mean(x.where(~mine)))
+    return blocking.either_top(written(scored), "p", 20, 1).select("s1_id", "cand_id", "y")
+
+
+@query()
+def k7_k9_k11_two_stage_audit(spark, d):
+    """Two stages of calibrated folds on the pool, answers for audit references on
+    a frame of the test's density, decoding and breakdown."""
+    a, b = sides(spark, d)
+    g = written(gold(spark, d))
+    q = written(a.select("ctry").distinct().withColumn("q", F.lit(0.3)))
+    frame = pair_frame(spark, d)
+    ctry = frame if "ctry" in frame.columns else frame.join(a.select("s1_id", "ctry"), "s1_id")
+    x = written(learn.enriched(ctry, g, g, q))
+    pops = written(learn.populations(a.select("s1_id"), a.where(learn.share_hash(F.col("s1_id"), 11) < 0.2).select("s1_id"), 40))
+    pool, audit = (x.join(pops.where(F.col("population") == p).select("s1_id"), "s1_id") for p in ("pool", "audit"))
+    tested = written(learn.denser(audit, q, features.context))
+    one = learn.Folds(pool, MODEL, "s1_id", 2, "w", rounds=2, depth=3)
+    p1, t1 = written(one.own(pool)), written(one.mean(tested))
+    far = written(one.mean(x.join(pops.where("population not in ('pool', 'audit')").select("s1_id"), "s1_id")).select("cand_id", "p"))
+    two_of = lambda df: ranking.second_stage_context(df, far).withColumnRenamed("p", "p1")
+    names = [*MODEL, "p1", "p1_rank_c", "p1_gap_s1", "n_conf_c"]
+    two = learn.Folds(written(two_of(p1)), names, "s1_id", 2, "w", rounds=2, depth=3)
+    out = written(two.mean(two_of(t1)))
+    owners = pops.where("population = 'audit'").join(a.select("s1_id", "ctry"), "s1_id")
+    true = owners.join(g.groupBy("s1_id").agg(F.collect_set("cand_id").alias("ids")), "s1_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    return evaluate.breakdown(evaluate.scored(decode.decode(out, owners.select("s1_id")), true))
+
+
+@query("""WITH f AS (SELECT 'comma-separated' AS rule, 'source1_entity_id,matched_entity_ids' AS offender UNION ALL SELECT 'header', 'source1_entity_id' || chr(9) || 'ids' UNION ALL SELECT 'not utf-8', 'bytes')
+SELECT rule, 'error' AS severity, offender FROM f UNION ALL SELECT 'malformed', 'error', concat('S1-', s_suppkey) FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT 'missing', 'error', concat('S1-', s_suppkey) FROM supplier WHERE s_suppkey % 7 = 0
+UNION ALL SELECT DISTINCT 'repeated id', 'error', 'S2-5' FROM supplier WHERE s_suppkey % 7 = 1 UNION ALL SELECT DISTINCT 'reference id', 'error', 'S1-9' FROM supplier WHERE s_suppkey % 7 = 2 UNION ALL SELECT DISTINCT 'unknown prefix', 'error', 'X3' FROM supplier WHERE s_suppkey % 7 = 3
+UNION ALL SELECT DISTINCT 'unknown id', 'error', 'S3-77' FROM supplier WHERE s_suppkey % 7 = 4 UNION ALL SELECT 'duplicate row', 'error', concat('S1-', s_suppkey) FROM supplier WHERE s_suppkey % 7 = 5 UNION ALL SELECT 'extra', 'error', 'S1-X'""")
+def k24_k25_file_checks(spark, d):
+    """A good header over bad rows, and files that are refused as a whole."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("S1-"), "s_suppkey").alias("s1_id"))
+    lists = ["", "S2-5,S2-5", "S1-9", "X3", "S3-77", "", "S2-5,S3-6"]
+    kinds = reduce(lambda w, o: w.when(F.col("k") % 7 == o[0], o[1]), list(enumerate(lists))[1:], F.when(F.col("k") % 7 == 0, ""))
+    line = F.when(F.col("k") % 7 == 0, F.col("s1_id")).otherwise(F.concat("s1_id", F.lit("\t"), kinds))
+    lines = s.select(line.alias("value")).unionByName(s.where("k % 7 = 5").select(line.alias("value"))).unionByName(spark.createDataFrame([("S1-X\t",), ("",)], "value string"))
+    known = spark.createDataFrame([("S2-5",), ("S3-6",)], "id string")
+    header, paths = ("source1_entity_id", "matched_entity_ids"), [place(spark) for _ in range(4)]
+    for p, first, body in zip(paths, ("\t".join(header), ",".join(header), "source1_entity_id\tids", "\t".join(header)), (lines, lines, lines, lines.limit(0).unionByName(spark.range(1).select(F.unhex(F.lit("53FF")).cast("string").alias("value")))), strict=True):
+        sources.write_lines(first, body, p)
+    found = reduce(DataFrame.unionByName, [evaluate.check_file(spark, p, header, s.select("s1_id"), known) for p in paths])
+    return found.withColumn("offender", F.when(F.col("rule") == "not utf-8", "bytes").otherwise(F.col("offender")))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders), b AS (SELECT l_partkey AS id, min(l_orderkey) AS k FROM lineitem GROUP BY 1), c AS (SELECT l_orderkey AS k, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1), m AS (SELECT k, count(*) AS n FROM b GROUP BY 1)
+SELECT 'matching_results' AS file, count(*) AS n_rows, CAST(sum(coalesce(m.n, 0)) AS BIGINT) AS n_ids, CAST(sum((m.n IS NULL)::INT) AS BIGINT) AS n_empty FROM o LEFT JOIN m USING (k)
+UNION ALL SELECT 'candidate_pairs', count(*), CAST(sum(coalesce(c.n, 0)) AS BIGINT), CAST(sum((c.n IS NULL)::INT) AS BIGINT) FROM o LEFT JOIN c USING (k)""")
+def k37_write_and_check(spark, d):
+    name = lambda c, p: F.concat(F.lit(p), F.col(c))
+    li = table(spark, d, "lineitem")
+    some = li.select(name("l_orderkey", "S1-").alias("s1_id"), name("l_partkey", "S2-").alias("id"), "l_orderkey", "l_partkey")
+    best = some.groupBy("id").agg(F.min_by("s1_id", "l_orderkey").alias("s1_id"))
+    sets = lambda df: df.groupBy("s1_id").agg(F.collect_set("id").alias("ids"))
+    owners, known = table(spark, d, "orders").select(name("o_orderkey", "S1-").alias("s1_id")), some.select("id").distinct()
+    return evaluate.write_and_check(place(spark), sets(best), sets(some), owners, known).select("file", "n_rows", "n_ids", "n_empty")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id FROM supplier")
+def k38_first_column_ids(spark, d):
+    path = place(spark)
+    rows = table(spark, d, "supplier").select(F.concat(F.lit(" "), "s_suppkey", F.lit("\t"), "s_name").alias("value"))
+    sources.write_lines("entity_id\tname", rows.unionByName(spark.createDataFrame([("",), ("  ",)], "value string")), path)
+    return sources.first_column_ids(spark, path)
+
+
+@query("""WITH x AS (SELECT n_chars, count(*) AS n FROM documents GROUP BY 1), y AS (SELECT n_chars, sum(n) OVER (ORDER BY n_chars) - (n - 1) / 2.0 AS r, sum(n) OVER () AS a FROM x)
+SELECT CAST(least(floor((r - 1) * 5 / a), 4) AS INT) AS bin, count(*) AS n FROM documents JOIN y USING (n_chars) GROUP BY 1""")
+def e23_quantile_bins(spark, d):
+    return evaluate.quantile_bins(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 5).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query("""WITH {R}, s AS (SELECT ctry, name, addr, string_split(addr, ' ')[1] AS h FROM a), nm AS (SELECT ctry, name, count(*) AS c FROM s GROUP BY ALL), pl AS (SELECT ctry, addr, h, count(*) AS c FROM s WHERE addr <> '' AND h <> '' GROUP BY ALL), st AS (SELECT ctry, addr, count(*) AS c FROM s WHERE addr <> '' GROUP BY ALL),
+ p AS (SELECT a.s1_id, b.cand_id, a.ctry, a.name AS an, a.addr AS aw, string_split(a.addr, ' ')[1] AS ah, b.name AS bn, b.addr AS bw, string_split(b.addr, ' ')[1] AS bh FROM a JOIN b USING (ctry, name))
+SELECT s1_id, cand_id, round(ln(1 + coalesce(x.c, 0)), 6) AS dn_s1_name, CASE WHEN bn = '' THEN -1 ELSE round(ln(1 + coalesce(y.c, 0)), 6) END AS dn_c_name, CASE WHEN aw = '' OR ah = '' THEN -1 ELSE round(ln(1 + coalesce(u.c, 0)), 6) END AS dn_s1_addr,
+ CASE WHEN bw = '' OR bh = '' THEN -1 ELSE round(ln(1 + coalesce(v.c, 0)), 6) END AS dn_c_addr, CASE WHEN bw = '' THEN -1 ELSE round(ln(1 + coalesce(z.c, 0)), 6) END AS dn_c_street
+FROM p LEFT JOIN nm x ON x.ctry = p.ctry AND x.name = an LEFT JOIN nm y ON y.ctry = p.ctry AND y.name = bn LEFT JOIN pl u ON u.ctry = p.ctry AND u.addr = aw AND u.h = ah LEFT JOIN pl v ON v.ctry = p.ctry AND v.addr = bw AND v.h = bh LEFT JOIN st z ON z.ctry = p.ctry AND z.addr = bw""")
+def e12_j21_densities(spark, d):
+    a, b = sides(spark, d)
+    frame = lambda df, k: df.select(F.col(k).alias("entity_id"), "ctry", F.col("name").alias("name_n"), F.col("addr").alias("addr_words"), F.split("addr", " ")[0].alias("house"))
+    p = a.select("s1_id", "ctry", "name").join(b.select("cand_id", "ctry", "name"), ["ctry", "name"]).select("s1_id", "cand_id")
+    return features.density(p, frame(a, "s1_id"), frame(b, "cand_id")).select("s1_id", "cand_id", *[r6(c).alias(c) for c in ("dn_s1_name", "dn_c_name", "dn_s1_addr", "dn_c_addr", "dn_c_street")])
