@@ -176,46 +176,50 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, _part, _rank): every document's
-    pieces; _rank counts those of a length within the task's partition."""
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text: str = "text", end_id: int = 0, order: str | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, _part, _rank, _at): every document's
+    pieces; _rank counts those of a length within the task's partition; _at is the
+    document's place in the order, if there is one."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def work(texts, ids):
+    def work(texts, ids, places=None):
         seen = work.__dict__.setdefault("seen", {})
         part = TaskContext.get().partitionId()
         if work.__dict__.setdefault("part", part) != part:
             seen.clear()
             work.part = part
-        out = [[] for _ in range(7)]
+        out = [[] for _ in range(8)]
         enc = tokenizer(path)
-        for t, i in zip(texts, ids, strict=True):
+        for t, i, at in zip(texts, ids, places or [None] * len(ids), strict=True):
             raw = enc.ids(t) + end
             for k in range(0, len(raw), 4 * capacity):
                 piece = raw[k : k + 4 * capacity]
                 n = len(piece) // 4
                 seen[n] = seen.get(n, -1) + 1
-                for column, x in zip(out, (i, k // (4 * capacity), k // 4, n, zlib.crc32(piece), part, seen[n]), strict=True):
+                for column, x in zip(out, (i, k // (4 * capacity), k // 4, n, zlib.crc32(piece), part, seen[n], at), strict=True):
                     column.append(x)
         return out
 
-    names = (("piece", IntegerType()), ("start", LongType()), ("length", LongType()), ("ids_crc32", LongType()), ("_part", IntegerType()), ("_rank", LongType()))
-    return map_texts(docs, [id_col], StructType([docs.schema[id_col], *[StructField(n, t) for n, t in names]]), work, text)
+    names = (("piece", IntegerType()), ("start", LongType()), ("length", LongType()), ("ids_crc32", LongType()), ("_part", IntegerType()), ("_rank", LongType()), ("_at", LongType()))
+    return map_texts(docs, [id_col, *([order] if order else [])], StructType([StructField("_id", docs.schema[id_col].dataType), *[StructField(n, t) for n, t in names]]), work, text)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, id_col: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """One row per piece: where it comes from, and its sequence and offset."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, id_col: str = "doc_id", text: str = "text", end_id: int = 0, order: str | None = None) -> DataFrame:
+    """One row per piece: where it comes from, and its sequence and offset.
+    order: a column of different longs; pieces of one length are then taken in
+    that order, task by task, and a sequence is numbered by its first document's
+    place, so sequences read by number follow the order."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    cut = materialize(pieces(docs, path, capacity, id_col, text, end_id), "pieces")
-    sizes = materialize(cut.groupBy("length", "_part").agg(F.count("*").alias("_n")), "lengths")
+    cut = materialize(pieces(docs, path, capacity, id_col, text, end_id, order), "pieces")
+    sizes = materialize(cut.groupBy("length", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")), "lengths")
     # capacity rows at most come to the driver
     histogram = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}
     from pyspark.sql import Window
 
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("length").orderBy("_first", "_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     rows = np.array(plan(histogram, capacity) or [(0, 0, 0, 0, 0)], np.int64)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
@@ -235,6 +239,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, id_col:
             yield pdf.drop(columns=["_part", "_rank", "_base"])
 
     kind = docs.schema[id_col].dataType
-    schema = StructType([StructField(id_col, kind), StructField("piece", IntegerType()), *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset")]])
-    joined = cut.join(bases, ["length", "_part"]).select(id_col, "piece", "start", "length", "ids_crc32", "_part", "_rank", "_base")
-    return joined.mapInPandas(place, schema)
+    schema = StructType([StructField("_id", kind), StructField("piece", IntegerType()), *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "_at", "sequence_id", "offset")]])
+    # as many rows as lengths and tasks: a join by key, not a broadcast that grows with both
+    joined = cut.join(bases.hint("merge"), ["length", "_part"]).select("_id", "piece", "start", "length", "ids_crc32", "_at", "_part", "_rank", "_base")
+    placed = joined.mapInPandas(place, schema)
+    if order:
+        placed = materialize(placed, "placed")
+        number = placed.groupBy("sequence_id").agg(F.min(F.struct("_at", "piece")).alias("_f"))
+        # a document has fewer than 2**20 pieces of a sequence's length
+        placed = placed.join(number, "sequence_id").withColumn("sequence_id", F.shiftleft(F.col("_f._at"), 20) + F.col("_f.piece"))
+    return placed.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -11,6 +11,13 @@ with the corpus, so they are never broadcast whole: a tree and its queries meet
 by their key.  A shard returns at most one edge for each fingerprint (to the
 least of its component in the shard), never all pairs.
 
+drop_similar() takes five-word shingles and a similarity of 0.8.  Such pairs
+differ in some ten bits, too many for blocks of bits; its shards are keyed by
+shingles instead: of the SKETCH least shingle hashes of a text, the KEYS rarest
+that another text has too.  A pair of similarity 0.8 shares most of the SKETCH.
+Trees are searched with a radius of WIDE bits, and what the search links is
+checked against the whole shingle sets of both texts.
+
 Cases: a null or wordless text has fingerprint zero, which links like any
 other; a null doc_id is no candidate for component_id (a component of such rows
 alone has a null one); repeated rows share a fingerprint; empty tables give
@@ -25,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, fresh, map_texts, materialize
@@ -33,26 +40,46 @@ from .common import connected_components, fresh, map_texts, materialize
 #: (lowest bit, bits) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 STEP = 1 << 16
+#: Least shingle hashes of a text, those of them that key its shards, and the
+#: radius for a similarity of 0.8 (ten bits on average, three standard deviations more).
+SKETCH, KEYS, WIDE = 16, 4, 18
 
 
-def fingerprint(raw: bytes, width: int = 4) -> int:
-    """Unsigned SimHash over all width-word shingles of a whole text."""
+def shingle_hashes(raw: bytes, width: int):
+    """XXH64 of all width-word shingles of a whole text, in arrays of STEP."""
     w = raw.lower().split()
     if not w:
-        return 0
+        return
     n, digest = max(1, len(w) - width + 1), xxhash.xxh64_intdigest
     joined = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w])
     starts = [0, *ends[:-1].tolist()]
     ends = (ends - 1).tolist()
     last = min(width, len(w)) - 1
-    ones = np.zeros(64, np.int64)
     for i in range(0, n, STEP):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[i : min(n, i + STEP)], ends[i + last : min(n, i + STEP) + last], strict=True)], np.uint64)
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[i : min(n, i + STEP)], ends[i + last : min(n, i + STEP) + last], strict=True)], np.uint64)
+
+
+def majority(parts: list[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(raw: bytes, width: int = 4) -> int:
+    """Unsigned SimHash over all width-word shingles of a whole text."""
+    return majority(shingle_hashes(raw, width))
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes; one of its own for a wordless text."""
+    parts = list(shingle_hashes(raw, width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """(id, more..., _fp): the fingerprint as a signed long."""
     from pyspark.sql.types import LongType, StructField, StructType
@@ -112,6 +139,32 @@ def star(tree_fps: np.ndarray, query_fps: np.ndarray, radius: int) -> tuple[np.n
     return every[moved].view(np.int64), every[label[moved]].view(np.int64)
 
 
+def forest(fps: np.ndarray, mine: np.ndarray, theirs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows within radius that connect what the search of mine's
+    tree with theirs connects, each a pair that was found: at most one a row."""
+    values, first = np.unique(fps, return_index=True)
+    at = np.searchsorted(values, fps)
+    label, out_i, out_j = np.arange(len(values)), [np.flatnonzero(first[at] != np.arange(len(fps)))], []
+    out_j.append(first[at[out_i[0]]])
+    tree, queries = np.unique(at[mine]), np.unique(at[theirs])
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for node, near in BKTree(values[tree]).search(values[queries], radius):
+        a = int(tree[node])
+        for b in queries[near].tolist():
+            x, y = root(a), root(b)
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                out_i.append(first[[b]])
+                out_j.append(first[[a]])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def links(fps: DataFrame, radius: int = 4, shard_rows: int = 20_000) -> DataFrame:
     """Distinct signed fingerprints (_fp) to edges (a, b) that connect just what
     pairs within radius connect.  radius is 4 at most."""
@@ -195,6 +248,91 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(mark).alias("mark"))).alias("best")
     least = prints.groupBy("_fp").agg(best)
     rooted = least.join(components(prints, id_col, radius), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
-    keep = rooted.groupBy("_root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("_k_id"), F.col("best.mark").alias("_k_mark")).distinct()
-    out = marked.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_k_id")) & (F.col(mark) == F.col("_k_mark")), "left_semi")
+    kid, kmark = fresh(marked, "_k_id"), fresh(marked, "_k_mark")
+    keep = rooted.groupBy("_root").agg(F.min("best").alias("best")).select(F.col("best.id").alias(kid), F.col("best.mark").alias(kmark)).distinct()
+    out = marked.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col(kid)) & (F.col(mark) == F.col(kmark)), "left_semi")
+    return out.dropDuplicates([id_col, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def similar_links(classes: DataFrame, radius: int = WIDE, shard_rows: int = 20_000) -> DataFrame:
+    """(t: text class, fp, keys: its least shingle hashes) to pairs (t0, t1) that
+    the trees of the shards connect."""
+    spread = classes.select("t", "fp", F.explode("keys").alias("key"))
+    counts = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rarest = Window.partitionBy("t").orderBy("n", "key")  # SKETCH rows of a text at most
+    chosen = spread.join(counts, "key").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= KEYS).select("t", "fp", "key")
+    sizes = chosen.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+    tasks = F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, own) as a, greatest(p, own) as b))")
+    dealt = chosen.join(sizes, "key").withColumn("own", F.expr("cast(pmod(xxhash64(t), parts) as int)")).select("key", "t", "fp", "own", F.explode(tasks).alias("x")).select("key", "x.a", "x.b", "own", "fp", "t")
+
+    def search(batches):
+        left = None
+        for pdf in batches:
+            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+            key = pdf[["key", "a", "b"]].to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            at = int(cuts[-1]) if len(cuts) else 0
+            left = pdf.iloc[at:]
+            if at:
+                yield solve(pdf.iloc[:at])
+        if left is not None and len(left):
+            yield solve(left)
+
+    def solve(pdf):
+        key, t, fp, own = pdf[["key", "a", "b"]].to_numpy(), pdf["t"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(t)]
+        found = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j - i > 1:
+                x, y = forest(fp[i:j], own[i:j] == key[i, 1], own[i:j] == key[i, 2], radius)
+                found.append((t[i:j][x], t[i:j][y]))
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"t0": np.minimum(x, y), "t1": np.maximum(x, y)})
+
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInPandas(search, "t0 long, t1 long").where("t0 <> t1").distinct()
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of texts that shingle sets of similarity
+    (shared over all) connect: that of the least id (null ids last), among rows of
+    one id that of the least text hash."""
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+    mark, ident = fresh(docs, "_mark"), docs.schema[id_col]
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+
+    def work(texts, ids, ts):
+        fps, keys = [], []
+        for t in texts:
+            parts = list(shingle_hashes(t, width))
+            fps.append(majority(parts))
+            keys.append((np.unique(np.concatenate(parts))[:SKETCH] if parts else np.zeros(1, np.uint64)).view(np.int64).tolist())
+        return [ids, ts, np.array(fps, np.uint64).view(np.int64), keys]
+
+    schema = StructType([StructField("id", ident.dataType), StructField("t", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))])
+    prints = materialize(map_texts(marked, [id_col, mark], schema, work, text), "prints")
+    classes = prints.groupBy("t").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    found = materialize(similar_links(classes), "similar")
+    # the whole shingle sets of the texts that were linked
+    ends = found.select(F.col("t0").alias("t")).unionByName(found.select(F.col("t1").alias("t"))).distinct()
+    texts = marked.select(F.col(mark).alias("t"), F.col(f"`{text}`").alias("text")).join(ends, "t", "left_semi").dropDuplicates(["t"])
+    sets = materialize(map_texts(texts, ["t"], "t long, s binary", lambda xs, ts: [ts, [shingle_set(x, width).tobytes() for x in xs]], "text"), "sets")
+
+    def check(batches):
+        for pdf in batches:
+            good = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pdf.loc[np.array(good, bool), ["a", "b"]]
+
+    side = lambda t, s: sets.select(F.col("t").alias(t), F.col("s").alias(s))
+    sure = found.join(side("t0", "x"), "t0").join(side("t1", "y"), "t1").select(F.col("t0").alias("a"), F.col("t1").alias("b"), "x", "y").mapInPandas(check, "a long, b long")
+    comp = connected_components(sure).withColumnsRenamed({"node": "t", "component": "root"})
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("t").alias("mark"))).alias("best")
+    least = prints.groupBy("t").agg(best).join(comp, "t", "left").withColumn("root", F.coalesce("root", "t"))
+    kid, kmark = fresh(marked, "_k_id"), fresh(marked, "_k_mark")
+    keep = least.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias(kid), F.col("best.mark").alias(kmark)).distinct()
+    out = marked.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col(kid)) & (F.col(mark) == F.col(kmark)), "left_semi")
     return out.dropDuplicates([id_col, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])

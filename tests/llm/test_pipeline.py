@@ -1,11 +1,42 @@
-"""run() against a brute-force version of its filtering stages."""
+"""run() against a brute-force version of its stages."""
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
 
-from test_ops import WORD, brute_components, brute_simhash, raw
+from test_ops import WORD, raw
 
 import corpus_pipeline
-from erspark.llm import quality_rules
+from erspark.llm import mixing, quality_rules, secret_scan
+
+
+def shingles(t, width=5):
+    w = WORD.findall(raw(t).lower())
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset([()])
+
+
+def groups_of(sets, similarity=0.8):
+    """The least index that each set is linked to."""
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+def survivors(rows):
+    """The rows that the first two stages keep."""
+    kept = [r for r in rows if len(WORD.findall(raw(r[1]))) >= 50 and 100 * quality_rules.text_stats(raw(r[1]))[4] <= 50 * len(WORD.findall(raw(r[1])))]
+    groups = defaultdict(list)
+    for r, g in zip(kept, groups_of([shingles(r[1]) for r in kept]), strict=True):
+        groups[g].append(r)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
 
 
 def test_run_keeps_what_brute_force_keeps(spark, docs, rows, tmp_path):
@@ -13,15 +44,50 @@ def test_run_keeps_what_brute_force_keeps(spark, docs, rows, tmp_path):
     docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     # one label certifies nothing: the base rule alone decides
-    kept = [r for r in rows if len(WORD.findall(raw(r[1]))) >= 50 and 100 * quality_rules.text_stats(raw(r[1]))[4] <= 50 * len(WORD.findall(raw(r[1])))]
-    prints = [brute_simhash(r[1]) for r in kept]
-    comp, groups = brute_components(prints), defaultdict(list)
-    for r, p in zip(kept, prints, strict=True):
-        if r[0] is not None:
-            groups[comp[p]].append(r[0])
+    want = survivors(rows)
     out = corpus_pipeline.run(spark, d).collect()
-    assert {r.doc_id for r in out} - {None} == {min(g) for g in groups.values()}
-    room = defaultdict(int)
+    assert Counter({(r.doc_id, r.piece) for r in out}) == Counter((r.doc_id, r.piece) for r in out)
+    assert Counter(r.doc_id for r in out if r.piece == 0) == Counter(r[0] for r in want)
+    room = defaultdict(list)
+    for r in out:
+        room[r.sequence_id].append((r.offset, r.length))
+    for parts in room.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_stages_one_by_one(spark, docs, rows, tmp_path):
+    """Secrets go from the texts, the order of the mixture is that of the rows, and
+    sequences are numbered by it."""
+    from erspark.llm import common
+
+    for stage in (corpus_pipeline.secrets, corpus_pipeline.mix):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == docs.count()
+    path = secret_scan.vocabulary_path()
+    clean = corpus_pipeline.secrets(spark, docs, "").collect()
+    assert not any(re.search("AKIA[A-Z0-9]{16}", r.text or "") or secret_scan.find_spans(raw(r.text), path) for r in clean if r.doc_id == 906)
+    mixed = mixing.mix(docs.where("doc_id < 900")).collect()
+    order = [r.doc_id for r in sorted(mixed, key=lambda r: r[-1].position)]
+    written = common.materialize(corpus_pipeline.mix(spark, docs.where("doc_id < 900"), ""), "m")
+    out = corpus_pipeline.pack(spark, written, "").collect()
+    first = defaultdict(list)
     for r in out:
-        room[r.sequence_id] += r.length
-    assert max(room.values()) <= 2048
+        first[r.sequence_id].append(order.index(r.doc_id))
+    leads = [min(first[s]) for s in sorted(first)]
+    assert leads == sorted(leads)
+
+
+def test_empty_tables_and_clashing_columns(spark, docs, tmp_path):
+    d = str(tmp_path)
+    more = docs.selectExpr("*", "'a' as kept", "'b' as _mark", "1 as _place", "2 as t", "3 as fp", "4 as keys", "5 as _k_id", "6 as length")
+    more.where("doc_id < -5").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        if name != "quality rules":
+            out = stage(spark, more, d)
+            assert out.columns == more.columns and out.where("kept <> 'a' or _mark <> 'b' or t <> 2").count() == 0
