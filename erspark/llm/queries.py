@@ -60,4 +60,4 @@ QUERIES = {
         op7_secret_scan, op8_simhash, op9_substring_chains, op10_best_fit_packing,
     )
 }
-ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
+ORACLES: dict[str, str] = {"op5_va_topk": va_file.oracle_sql(), "op6_license_scan": license_scan.oracle_sql()}

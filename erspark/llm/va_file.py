@@ -140,3 +140,14 @@ def top_k(emb: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     both = sure.drop("rank").unionByName(read(rest).drop("rank")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return both.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def oracle_sql() -> str:
+    """The query's rows in DuckDB SQL over embeddings."""
+    return """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+ q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
+ s AS (SELECT q.vec_id AS query_id, q.e AS qe, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e))
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, qe ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10"""
