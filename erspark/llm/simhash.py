@@ -148,20 +148,16 @@ def forest(fps: np.ndarray, mine: np.ndarray, theirs: np.ndarray, radius: int) -
     out_j.append(first[at[out_i[0]]])
     tree, queries = np.unique(at[mine]), np.unique(at[theirs])
 
-    def root(i):
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
     for node, near in BKTree(values[tree]).search(values[queries], radius):
         a = int(tree[node])
-        for b in queries[near].tolist():
-            x, y = root(a), root(b)
-            if x != y:
-                label[max(x, y)] = min(x, y)
-                out_i.append(first[[b]])
-                out_j.append(first[[a]])
+        near = queries[near]
+        new, some = np.unique(label[near], return_index=True)
+        other = new != label[a]
+        if other.any():
+            # one found pair for each component that joins
+            out_i.append(first[near[some[other]]])
+            out_j.append(np.full(int(other.sum()), first[a]))
+            label[np.isin(label, new[other])] = label[a]
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
