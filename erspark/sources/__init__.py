@@ -77,9 +77,16 @@ def first_column_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line) of one text file; line is 0 for the first line and above it
-    for the others."""
-    return spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    """(value, line) of one text file, or of the parts of one: line is 0 for the
+    first line and above it for the others.  Parts follow by name; scans deal them
+    by size, so the first part is read by itself."""
+    file = "_metadata.file_path"
+    first = spark.read.format("binaryFile").load(path).where("length > 0").agg(F.min(file)).first()[0]
+    lines = spark.read.text(path)
+    head = lines.where(F.col(file) == F.lit(first)).withColumn("line", F.monotonically_increasing_id())
+    if first is None:
+        return head
+    return head.unionByName(lines.where(F.col(file) != F.lit(first)).withColumn("line", F.monotonically_increasing_id() + 1))
 
 
 def write_lines(header: str, lines: DataFrame, path: str) -> None:

@@ -268,6 +268,28 @@ def test_file_checks(spark, tmp_path):
     assert sorted(r.id for r in sources.first_column_ids(spark, str(tmp_path / "v/matching_results")).collect()) == ["S1-1", "S1-2"]
 
 
+def test_header_of_many_parts(spark, tmp_path):
+    """The header's part is not the largest, so scans don't begin with it."""
+    owners = spark.range(4000).select(F.concat(F.lit("S1-"), "id").alias("s1_id"))
+    lists = owners.select("s1_id", F.array(F.regexp_replace("s1_id", "S1", "S2")).alias("ids"))
+    known = lists.select(F.explode("ids").alias("id"))
+    off = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in zip(off, ("false", "1", "20000"), strict=True):
+            spark.conf.set(k, v)
+        report = evaluate.write_and_check(str(tmp_path / "w"), lists, lists, owners, known).collect()
+        assert {(r.n_rows, r.n_ids, r.n_empty) for r in report} == {(4000, 4000, 0)}
+        (tmp_path / "odd").mkdir()
+        for k, body in enumerate(("", "h\n", "a\nb\nc\n", "d\n")):
+            (tmp_path / "odd" / f"part-{k}").write_text(body)
+        lines = sources.text_lines(spark, str(tmp_path / "odd")).collect()
+        assert [r.value for r in lines if r.line == 0] == ["h"] and sorted(r.value for r in lines if r.line > 0) == ["a", "b", "c", "d"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_denser_frame_and_populations(spark):
     pairs = spark.createDataFrame([(s, c, "x", c >= 500, float((s * 7 + c * 3) % 11) / 11, 0.0, s % 2) for s in range(30) for c in range(s * 20, s * 20 + 25)], "s1_id long, cand_id long, ctry string, decoy boolean, rk double, v_key double, y int")
     out = learn.denser(pairs, spark.createDataFrame([("x", 1.0)], "ctry string, q double"), features.context, 20, 1)
