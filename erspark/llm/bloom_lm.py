@@ -44,6 +44,8 @@ END = b""
 HASHES = 3
 #: Words of a block, words of a bucket, bytes of a broadcast, texts scored at a time.
 BLOCK_WORDS, BUCKET_WORDS, GROUP_BYTES, SLICE = 1 << 20, 3 << 19, 1 << 26, 512
+#: Bytes of text scored at a time, if more than one text.
+SLICE_BYTES = 1 << 21
 #: Levels that a count has at most; a context seen so often weighs one half.
 LEVELS, TRUST = 128, 5.0
 TOKENS, PAIRS, TRIPLES, POSTINGS, ANSWER, SHARD, STATS = range(7)
@@ -206,6 +208,21 @@ def block_rows(buckets: int):
     return run
 
 
+def added_up(bodies: pa.ChunkedArray, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-grams of some rows and how often each is there."""
+    parts = []
+    for i in rows:
+        d, n = unpack(bodies[i].as_py())
+        parts.append((np.cumsum(d), n))
+    g, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    del parts, d
+    order = np.argsort(g, kind="stable")
+    n, g = n[order], g[order]
+    del order
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    return g[first], np.add.reduceat(n, first, dtype=np.int64)
+
+
 def add_up(base: float, bits_per_entry: float, least_count: int):
     """applyInArrow over a bucket's rows: exact counts back to each block, the
     bucket's shard, and (tokens, types, entries)."""
@@ -213,16 +230,16 @@ def add_up(base: float, bits_per_entry: float, least_count: int):
     def work(t: pa.Table) -> pa.Table:
         out: list[tuple] = []
         bucket = t["bucket"][0].as_py()
+        # bodies stay packed until their kind's turn
         tokens, grams = [], {PAIRS: [], TRIPLES: []}
-        for block, kind, body in zip(t["block"].to_pylist(), t["kind"].to_pylist(), t["body"].to_pylist(), strict=True):
+        for i, (block, kind) in enumerate(zip(t["block"].to_pylist(), t["kind"].to_pylist(), strict=True)):
             if kind == POSTINGS:
-                out.append((-1, block, POSTINGS, body))
+                out.append((-1, block, POSTINGS, t["body"][i].as_py()))
             elif kind == TOKENS:
-                d, k2, n = unpack(body)
+                d, k2, n = unpack(t["body"][i].as_py())
                 tokens.append((block, np.cumsum(d), k2, n))
             else:
-                d, n = unpack(body)
-                grams[kind].append((np.cumsum(d), n))
+                grams[kind].append(i)
         gram, q = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if tokens:
             k1, k2, n = (np.concatenate([x[i] for x in tokens]) for i in (1, 2, 3))
@@ -240,15 +257,15 @@ def add_up(base: float, bits_per_entry: float, least_count: int):
             some = total > 0
             gram, q = a[new][some], levels(total[some], base)
             out.append((bucket, -1, STATS, pack(np.array([total.sum(), some.sum()], np.int64))))
+        if tokens:
+            tokens = [None]
+            del k1, k2, n, order, a, b, new, group, total, back, some
         for kind, least in ((PAIRS, 1), (TRIPLES, least_count)):
             if grams[kind]:
-                g, n = (np.concatenate([x[i] for x in grams[kind]]) for i in (0, 1))
-                order = np.argsort(g, kind="stable")
-                g, n = g[order], n[order]
-                first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                n, g = np.add.reduceat(n.astype(np.int64), first), g[first]
+                g, n = added_up(t["body"], grams[kind])
                 some = n >= least
                 gram, q = np.concatenate([gram, g[some]]), np.concatenate([q, levels(n[some], base)])
+                del g, n, some
         if tokens or any(grams.values()):
             out.append((bucket, -1, SHARD, shard(gram, q, bits_per_entry).tobytes()))
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
@@ -333,8 +350,11 @@ def model_scores(rows: DataFrame, groups: list, buckets: int, n: int, v: int, ba
         filters = [(first, held(bc, len(groups) == 1)) for first, bc in groups]
         known: dict[bytes, int] = {}
         for whole in batches:
-            for i in range(0, whole.num_rows, SLICE):
-                b = whole.slice(i, SLICE)
+            size, j = np.cumsum([len(x) for x in whole.column(text).cast(pa.binary()).to_pylist()]), 0
+            while j < whole.num_rows:
+                i, most = j, (size[j - 1] if j else 0) + SLICE_BYTES
+                j = min(i + SLICE, max(i + 1, int(np.searchsorted(size, most, side="right"))))
+                b = whole.slice(i, j - i)
                 texts = [words(x) for x in b.column(text).cast(pa.binary()).to_pylist()]
                 new = list({w for ws in texts for w in ws} - known.keys())
                 if new:

@@ -460,3 +460,25 @@ def test_mix_keeps_exact_weights(spark, weights, monkeypatch):
     slots = list(mixing.timetable(many, dict.fromkeys(many, 20)))
     heads = sum(s in list(many)[:10] for s, _, slot, _, _ in slots if slot < 2580)
     assert len(slots) == 24_000 and heads == 200
+
+
+def test_lm_bucket_holds_one_kind_at_a_time():
+    """A bucket's n-grams are unpacked kind by kind, so its peak is that of one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, rows = np.random.default_rng(1), []
+    for block in range(8):
+        for kind in (bloom_lm.PAIRS, bloom_lm.TRIPLES):
+            g = np.unique(rng.integers(0, 1 << 22, 100_000).astype(np.uint64) << np.uint64(11))
+            rows.append((0, block, kind, bloom_lm.pack(np.diff(g, prepend=np.uint64(0)), np.ones(len(g), np.int32))))
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    t = pa.table({n.split()[0]: pa.array([r[i] for r in rows], x) for i, (n, x) in enumerate(zip(bloom_lm.ROW.split(", "), types, strict=True))})
+    tracemalloc.start()
+    try:
+        out = bloom_lm.add_up(1.5, 8.0, 2)(t)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.num_rows == 1 and peak < 60e6  # 86 MB with all kinds at once
