@@ -16,7 +16,11 @@ differ in some ten bits, too many for blocks of bits; its shards are keyed by
 shingles instead: of the SKETCH least shingle hashes of a text, the KEYS rarest
 that another text has too.  A pair of similarity 0.8 shares most of the SKETCH.
 Trees are searched with a radius of WIDE bits, and what the search links is
-checked against the whole shingle sets of both texts.
+checked against the whole shingle sets of both texts.  Pairs that share none of
+these keys, or differ in more bits, come by an exact way for the rest
+(rest_links): in any one order of all shingles, two texts of that similarity
+share one of their first n - ceil(similarity * n) + 1.  The order is rarest
+first, by a sketch of counts, and only texts that are not connected yet meet.
 
 Cases: a null or wordless text has fingerprint zero, which links like any
 other; a null doc_id is no candidate for component_id (a component of such rows
@@ -31,11 +35,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, map_texts, materialize
+from .chaining import pack, unpack, word_hashes
+from .common import connected_components, discard, fresh, map_texts, materialize
 
 #: (lowest bit, bits) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -43,6 +49,9 @@ STEP = 1 << 16
 #: Least shingle hashes of a text, those of them that key its shards, and the
 #: radius for a similarity of 0.8 (ten bits on average, three standard deviations more).
 SKETCH, KEYS, WIDE = 16, 4, 18
+#: Bits of the counters that order shingles, and of a row of them; holders of a
+#: shingle that one task compares.
+SLOTS, CHUNK, HOLDERS = 22, 16, 4096
 
 
 def shingle_hashes(raw: bytes, width: int):
@@ -80,6 +89,19 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
 
 
+def rolled(raw: bytes, width: int) -> np.ndarray:
+    """As shingle_set(), by numbers made from word hashes, which take less time."""
+    h = word_hashes(raw)
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    width = min(width, len(h))
+    g = np.full(len(h) - width + 1, width, np.uint64)
+    for i in range(width):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(g)]
+    g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(g ^ (g >> np.uint64(29)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """(id, more..., _fp): the fingerprint as a signed long."""
     from pyspark.sql.types import LongType, StructField, StructType
@@ -288,6 +310,130 @@ def similar_links(classes: DataFrame, radius: int = WIDE, shard_rows: int = 20_0
     return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInPandas(search, "t0 long, t1 long").where("t0 <> t1").distinct()
 
 
+def shingle_weights(docs: DataFrame, width: int, text: str) -> np.ndarray:
+    """For each slot of shingle hashes, four times the logarithm of its count."""
+    slots, parts = 1 << SLOTS, 1 << SLOTS - CHUNK
+
+    def count(batches):
+        total = np.zeros(slots, np.uint32)
+        for b in batches:
+            for raw in b.column(0).cast(pa.binary()).to_pylist():
+                total[(rolled(raw or b"", width) >> np.uint64(64 - SLOTS)).astype(np.int64)] += 1
+        some = [(i, pack(c)) for i, c in enumerate(total.reshape(parts, -1)) if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([c for _, c in some], pa.binary())], names=["chunk", "body"])
+
+    def add(pdf):
+        total = np.zeros(1 << CHUNK, np.int64)
+        for body in pdf["body"]:
+            total += unpack(body)[0]
+        scale = np.ceil(4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "body": [scale.tobytes()]})
+
+    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "chunk int, body binary")
+    out = np.zeros((parts, 1 << CHUNK), np.uint8)
+    for r in rows.groupBy("chunk").applyInPandas(add, "chunk int, body binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["body"], np.uint8)
+    return out.ravel()
+
+
+def may_reach(n, pos, i, j, similarity: float) -> np.ndarray:
+    """Whether rows i and j, if what they share here is the first that their
+    texts share, leave enough after it for the similarity."""
+    need = similarity / (1 + similarity) * (n[i] + n[j])
+    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need - 1e-6
+
+
+def across(root, n, pos, own, a, b, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of one shingle's holders that may be similar and are not connected;
+    of holders that are dealt, those of part a with those of part b."""
+    by = np.argsort(n, kind="stable")
+    if (root == root[0]).all():
+        return by[:0], by[:0]
+    left, right = by[own[by] == a], by[own[by] == b]
+    sizes, out_i, out_j = n[right], [by[:0]], [by[:0]]
+    for x in left.tolist():
+        lo = np.searchsorted(sizes, similarity * n[x] - 1e-6)
+        hi = np.searchsorted(sizes, n[x] / similarity + 1e-6, side="right")
+        y = right[lo:hi]
+        y = y[(root[y] != root[x]) & ((y > x) if a == b else True)]
+        y = y[may_reach(n, pos, np.full(len(y), x), y, similarity)]
+        out_i.append(np.full(len(y), x))
+        out_j.append(y)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def rest_links(docs: DataFrame, roots: DataFrame, t: str, text: str, width: int, similarity: float) -> DataFrame:
+    """All pairs (t0, t1) of texts with different roots (t, root; a text without
+    a row is its own) that share one of their first shingles and may be similar."""
+    heat = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, width, text))
+
+    def work(texts, ts):
+        n, keys, heats = [], [], []
+        for raw in texts:
+            g = rolled(raw, width)
+            w = heat.value[(g >> np.uint64(64 - SLOTS)).astype(np.int64)]
+            first = np.lexsort((g, w))[: len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1]
+            n.append(len(g))
+            keys.append(g[first].tobytes())
+            heats.append(w[first].tobytes())
+        return [ts, n, keys, heats]
+
+    per = map_texts(docs, [t], "t long, n int, keys binary, heats binary", work, text).dropDuplicates(["t"])
+    per = per.join(roots, "t", "left").select("t", F.coalesce("root", "t").alias("root"), "n", "keys", "heats")
+    kinds = [("key", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("own", pa.int32()), ("t", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
+
+    def deal(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                out = []
+                for t, root, n, keys, heats in zip(*[c.to_pylist() for c in batch.slice(i, 256).columns], strict=True):
+                    key = np.frombuffer(keys, np.int64)
+                    # the parts of a shingle that many may hold; a key and its parts agree in all texts
+                    parts = np.maximum(1, np.ceil(2.0 ** (np.frombuffer(heats, np.uint8) / 4) / HOLDERS)).astype(np.int64)
+                    own = t % parts
+                    at = np.repeat(np.arange(len(key)), parts)
+                    other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    same = np.full(len(at), 1)
+                    out.append((key[at], np.minimum(own[at], other), np.maximum(own[at], other), own[at], same * t, same * root, same * n, at))
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[x for x, _ in kinds])
+
+    def search(batches):
+        left = None
+        for pdf in batches:
+            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+            key = pdf[["key", "a", "b"]].to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            at = int(cuts[-1]) if len(cuts) else 0
+            left = pdf.iloc[at:]
+            if at:
+                yield solve(pdf.iloc[:at])
+        if left is not None and len(left):
+            yield solve(left)
+
+    def solve(pdf):
+        key, (t, root, n, pos, own) = pdf[["key", "a", "b"]].to_numpy(), (pdf[c].to_numpy() for c in ("t", "root", "n", "pos", "own"))
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        size, out_i, out_j = np.diff(np.append(first, len(t))), [first[:0]], [first[:0]]
+        for m in range(2, 33):
+            groups = first[(size == m) & (key[first, 1] == key[first, 2])]
+            i, j = np.triu_indices(m, 1)
+            i, j = (groups[:, None] + i).ravel(), (groups[:, None] + j).ravel()
+            some = (root[i] != root[j]) & may_reach(n, pos, i, j, similarity)
+            out_i.append(i[some])
+            out_j.append(j[some])
+        for k in np.flatnonzero((size > 32) | (size > 1) & (key[first, 1] != key[first, 2])).tolist():
+            x, y = first[k], first[k] + size[k]
+            i, j = across(root[x:y], n[x:y], pos[x:y], own[x:y], key[x, 1], key[x, 2], similarity)
+            out_i.append(x + i)
+            out_j.append(x + j)
+        x, y = t[np.concatenate(out_i)], t[np.concatenate(out_j)]
+        return pd.DataFrame({"t0": np.minimum(x, y), "t1": np.maximum(x, y)}).drop_duplicates()
+
+    dealt = per.mapInArrow(deal, ", ".join(f"{x} {'long' if k == pa.int64() else 'int'}" for x, k in kinds))
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInPandas(search, "t0 long, t1 long").distinct()
+
+
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of texts that shingle sets of similarity
     (shared over all) connect: that of the least id (null ids last), among rows of
@@ -308,11 +454,6 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     schema = StructType([StructField("id", ident.dataType), StructField("t", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))])
     prints = materialize(map_texts(marked, [id_col, mark], schema, work, text), "prints")
     classes = prints.groupBy("t").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    found = materialize(similar_links(classes), "similar")
-    # the whole shingle sets of the texts that were linked
-    ends = found.select(F.col("t0").alias("t")).unionByName(found.select(F.col("t1").alias("t"))).distinct()
-    texts = marked.select(F.col(mark).alias("t"), F.col(f"`{text}`").alias("text")).join(ends, "t", "left_semi").dropDuplicates(["t"])
-    sets = materialize(map_texts(texts, ["t"], "t long, s binary", lambda xs, ts: [ts, [shingle_set(x, width).tobytes() for x in xs]], "text"), "sets")
 
     def check(batches):
         for pdf in batches:
@@ -323,9 +464,23 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
                 good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pdf.loc[np.array(good, bool), ["a", "b"]]
 
-    side = lambda t, s: sets.select(F.col("t").alias(t), F.col("s").alias(s))
-    sure = found.join(side("t0", "x"), "t0").join(side("t1", "y"), "t1").select(F.col("t0").alias("a"), F.col("t1").alias("b"), "x", "y").mapInPandas(check, "a long, b long")
-    comp = connected_components(sure).withColumnsRenamed({"node": "t", "component": "root"})
+    def verified(found: DataFrame) -> DataFrame:
+        """The pairs whose whole shingle sets are similar."""
+        ends = found.select(F.col("t0").alias("t")).unionByName(found.select(F.col("t1").alias("t"))).distinct()
+        texts = marked.select(F.col(mark).alias("t"), F.col(f"`{text}`").alias("text")).join(ends, "t", "left_semi").dropDuplicates(["t"])
+        sets = materialize(map_texts(texts, ["t"], "t long, s binary", lambda xs, ts: [ts, [shingle_set(x, width).tobytes() for x in xs]], "text"), "sets")
+        side = lambda t, s: sets.select(F.col("t").alias(t), F.col("s").alias(s))
+        good = found.join(side("t0", "x"), "t0").join(side("t1", "y"), "t1").select(F.col("t0").alias("a"), F.col("t1").alias("b"), "x", "y").mapInPandas(check, "a long, b long")
+        out = materialize(good, "sure")
+        discard(sets)
+        return out
+
+    def connected(edges: DataFrame) -> DataFrame:
+        return connected_components(edges).withColumnsRenamed({"node": "t", "component": "root"})
+
+    sure = verified(materialize(similar_links(classes), "similar"))
+    rest = materialize(rest_links(marked, connected(sure), mark, text, width, similarity), "rest")
+    comp = connected(sure.unionByName(verified(rest)))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("t").alias("mark"))).alias("best")
     least = prints.groupBy("t").agg(best).join(comp, "t", "left").withColumn("root", F.coalesce("root", "t"))
     kid, kmark = fresh(marked, "_k_id"), fresh(marked, "_k_mark")

@@ -91,3 +91,39 @@ def test_empty_tables_and_clashing_columns(spark, docs, tmp_path):
         if name != "quality rules":
             out = stage(spark, more, d)
             assert out.columns == more.columns and out.where("kept <> 'a' or _mark <> 'b' or t <> 2").count() == 0
+
+
+def test_similar_texts_meet_whatever_their_fingerprints(spark):
+    """Pairs of similarity 0.8 beyond the radius of the trees, pairs whose least
+    shingles others hold more seldom, and a shingle with many holders."""
+    import random
+
+    from erspark.llm import simhash
+
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows, far = [], 0
+    while far < 4:
+        w = rng.sample(vocab, 9)
+        x, y = " ".join(w), " ".join(w[:8])
+        if (simhash.fingerprint(x.encode(), 5) ^ simhash.fingerprint(y.encode(), 5)).bit_count() > simhash.WIDE:
+            rows += [x, y]
+            far += 1
+    base = rng.sample(vocab, 60)
+    rows += [" ".join(base), " ".join(base[:-1] + ["end"]), " ".join(base + ["more", "words"])]
+    # the least shingles of one side, each in another text that has little else in common
+    h = simhash.shingle_hashes
+    at = sorted(range(56), key=lambda i: int(next(h(" ".join(base[i : i + 5]).encode(), 5))[0]))[:16]
+    rows += [" ".join(rng.sample(vocab, 30) + base[i : i + 5]) for i in at[:8]]
+    rows += ["one line that all of them quote " + " ".join(rng.sample(vocab, k % 12)) for k in range(200)]
+    rows = [(i, x) for i, x in enumerate(rows)]
+    want = groups_of([shingles(x) for _, x in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == sorted(set(want))
+    # holders of one shingle over many tasks
+    before = simhash.HOLDERS
+    simhash.HOLDERS = 8
+    try:
+        assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == sorted(set(want))
+    finally:
+        simhash.HOLDERS = before
