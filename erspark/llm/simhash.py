@@ -21,6 +21,9 @@ these keys, or differ in more bits, come by an exact way for the rest
 (rest_links): in any one order of all shingles, two texts of that similarity
 share one of their first n - ceil(similarity * n) + 1.  The order is rarest
 first, by a sketch of counts, and only texts that are not connected yet meet.
+Where more than FEW hold a shingle, they bring parity sketches of their sets: two
+sets differ in as many shingles as their sketches in bits, or more, so what is
+too far apart goes without a row.
 
 Cases: a null or wordless text has fingerprint zero, which links like any
 other; a null doc_id is no candidate for component_id (a component of such rows
@@ -50,8 +53,9 @@ STEP = 1 << 16
 #: radius for a similarity of 0.8 (ten bits on average, three standard deviations more).
 SKETCH, KEYS, WIDE = 16, 4, 18
 #: Bits of the counters that order shingles, and of a row of them; holders of a
-#: shingle that one task compares.
-SLOTS, CHUNK, HOLDERS = 22, 16, 4096
+#: shingle that one task compares, and that meet without parity sketches, whose
+#: bits come last.
+SLOTS, CHUNK, HOLDERS, FEW, PARITY = 22, 16, 4096, 8, 1024
 
 
 def shingle_hashes(raw: bytes, width: int):
@@ -343,32 +347,63 @@ def may_reach(n, pos, i, j, similarity: float) -> np.ndarray:
     return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need - 1e-6
 
 
-def across(root, n, pos, own, a, b, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def across(root, n, pos, own, sketch, a, b, similarity: float, tree: bool) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of one shingle's holders that may be similar and are not connected;
-    of holders that are dealt, those of part a with those of part b."""
+    of holders that are dealt, those of part a with those of part b.  tree: only
+    what connects the same, by the least distances, one a row at most."""
+    root = np.unique(root, return_inverse=True)[1]
     by = np.argsort(n, kind="stable")
-    if (root == root[0]).all():
-        return by[:0], by[:0]
     left, right = by[own[by] == a], by[own[by] == b]
-    sizes, out_i, out_j = n[right], [by[:0]], [by[:0]]
+    sizes, out_i, out_j, most = n[right], [by[:0]], [by[:0]], (1 - similarity) / (1 + similarity)
     for x in left.tolist():
         lo = np.searchsorted(sizes, similarity * n[x] - 1e-6)
         hi = np.searchsorted(sizes, n[x] / similarity + 1e-6, side="right")
         y = right[lo:hi]
         y = y[(root[y] != root[x]) & ((y > x) if a == b else True)]
         y = y[may_reach(n, pos, np.full(len(y), x), y, similarity)]
+        far = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        near = far <= most * (n[y] + n[x]) + 1e-6
+        y = y[near]
+        if tree and len(y):
+            y = y[np.argsort(far[near], kind="stable")]
+            new, some = np.unique(root[y], return_index=True)
+            y = y[some]
+            root[np.isin(root, new)] = root[x]
         out_i.append(np.full(len(y), x))
         out_j.append(y)
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def rest_links(docs: DataFrame, roots: DataFrame, t: str, text: str, width: int, similarity: float) -> DataFrame:
-    """All pairs (t0, t1) of texts with different roots (t, root; a text without
-    a row is its own) that share one of their first shingles and may be similar."""
+def by_group(names: list[str], solve):
+    """mapInPandas over rows sorted by names: solve() gets whole groups."""
+
+    def run(batches):
+        held = []
+        for pdf in batches:
+            key = pdf[names].to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if held and len(key) and (held[-1][names].to_numpy()[-1] != key[0]).any():
+                cuts = np.append(0, cuts)
+            if len(cuts):
+                yield solve(pd.concat([*held, pdf.iloc[: cuts[-1]]], ignore_index=True))
+                held = []
+            if len(pdf):
+                held.append(pdf.iloc[int(cuts[-1]) if len(cuts) else 0 :])
+        if held:
+            yield solve(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def rest_links(docs: DataFrame, roots: DataFrame, t: str, text: str, width: int, similarity: float):
+    """(pairs, hot) for pairs (t0, t1) of texts with different roots (t, root; a
+    text without a row is its own) that share one of their first shingles and may
+    be similar: those that share one of few holders, and a function of newer roots
+    and tree that gives those that share one of many."""
     heat = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, width, text))
 
     def work(texts, ts):
-        n, keys, heats = [], [], []
+        n, keys, heats, sketches = [], [], [], []
         for raw in texts:
             g = rolled(raw, width)
             w = heat.value[(g >> np.uint64(64 - SLOTS)).astype(np.int64)]
@@ -376,17 +411,19 @@ def rest_links(docs: DataFrame, roots: DataFrame, t: str, text: str, width: int,
             n.append(len(g))
             keys.append(g[first].tobytes())
             heats.append(w[first].tobytes())
-        return [ts, n, keys, heats]
+            odd = np.bincount((g & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+            sketches.append(np.packbits(odd.astype(bool)).tobytes())
+        return [ts, n, keys, heats, sketches]
 
-    per = map_texts(docs, [t], "t long, n int, keys binary, heats binary", work, text).dropDuplicates(["t"])
-    per = per.join(roots, "t", "left").select("t", F.coalesce("root", "t").alias("root"), "n", "keys", "heats")
+    per = map_texts(docs, [t], "t long, n int, keys binary, heats binary, sketch binary", work, text).dropDuplicates(["t"])
+    per = materialize(per.join(roots, "t", "left").select("t", F.coalesce("root", "t").alias("root"), "n", "keys", "heats", "sketch"), "first")
     kinds = [("key", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("own", pa.int32()), ("t", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
 
     def deal(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 out = []
-                for t, root, n, keys, heats in zip(*[c.to_pylist() for c in batch.slice(i, 256).columns], strict=True):
+                for t, root, n, keys, heats, _ in zip(*[c.to_pylist() for c in batch.slice(i, 256).columns], strict=True):
                     key = np.frombuffer(keys, np.int64)
                     # the parts of a shingle that many may hold; a key and its parts agree in all texts
                     parts = np.maximum(1, np.ceil(2.0 ** (np.frombuffer(heats, np.uint8) / 4) / HOLDERS)).astype(np.int64)
@@ -398,40 +435,54 @@ def rest_links(docs: DataFrame, roots: DataFrame, t: str, text: str, width: int,
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[x for x, _ in kinds])
 
-    def search(batches):
-        left = None
-        for pdf in batches:
-            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
-            key = pdf[["key", "a", "b"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            at = int(cuts[-1]) if len(cuts) else 0
-            left = pdf.iloc[at:]
-            if at:
-                yield solve(pdf.iloc[:at])
-        if left is not None and len(left):
-            yield solve(left)
+    names = ["key", "a", "b"]
 
-    def solve(pdf):
-        key, (t, root, n, pos, own) = pdf[["key", "a", "b"]].to_numpy(), (pdf[c].to_numpy() for c in ("t", "root", "n", "pos", "own"))
+    def groups(pdf):
+        key, cols = pdf[names].to_numpy(), [pdf[c].to_numpy() for c in ("t", "root", "n", "pos", "own")]
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        size, out_i, out_j = np.diff(np.append(first, len(t))), [first[:0]], [first[:0]]
-        for m in range(2, 33):
-            groups = first[(size == m) & (key[first, 1] == key[first, 2])]
+        return key, cols, first, np.diff(np.append(first, len(key)))
+
+    def few(pdf):
+        """The pairs of small groups, the rows of large ones that are not one component."""
+        key, (t, root, n, pos, _), first, size = groups(pdf)
+        out_i, out_j = [first[:0]], [first[:0]]
+        for m in range(2, FEW + 1):
+            at = first[(size == m) & (key[first, 1] == key[first, 2])]
             i, j = np.triu_indices(m, 1)
-            i, j = (groups[:, None] + i).ravel(), (groups[:, None] + j).ravel()
+            i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             some = (root[i] != root[j]) & may_reach(n, pos, i, j, similarity)
             out_i.append(i[some])
             out_j.append(j[some])
-        for k in np.flatnonzero((size > 32) | (size > 1) & (key[first, 1] != key[first, 2])).tolist():
-            x, y = first[k], first[k] + size[k]
-            i, j = across(root[x:y], n[x:y], pos[x:y], own[x:y], key[x, 1], key[x, 2], similarity)
+        i, j = np.concatenate(out_i), np.concatenate(out_j)
+        pairs = pd.DataFrame({"t0": np.minimum(t[i], t[j]), "t1": np.maximum(t[i], t[j])}).drop_duplicates()
+        large = (size > 1) & ((size > FEW) | (key[first, 1] != key[first, 2]))
+        large &= np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        # whole numbers beside missing ones
+        both = [pairs.astype("Int64"), pdf[np.repeat(large, size)].astype("Int64")]
+        return pd.concat(both, ignore_index=True).reindex(columns=["t0", "t1", *[x for x, _ in kinds]])
+
+    def many(pdf, tree):
+        key, (t, root, n, pos, own), first, size = groups(pdf)
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(t), -1)
+        out_i, out_j = [first[:0]], [first[:0]]
+        for x, m in zip(first.tolist(), size.tolist(), strict=True):
+            y = x + m
+            i, j = across(root[x:y], n[x:y], pos[x:y], own[x:y], sketch[x:y], key[x, 1], key[x, 2], similarity, tree)
             out_i.append(x + i)
             out_j.append(x + j)
-        x, y = t[np.concatenate(out_i)], t[np.concatenate(out_j)]
-        return pd.DataFrame({"t0": np.minimum(x, y), "t1": np.maximum(x, y)}).drop_duplicates()
+        i, j = np.concatenate(out_i), np.concatenate(out_j)
+        return pd.DataFrame({"t0": np.minimum(t[i], t[j]), "t1": np.maximum(t[i], t[j])}).drop_duplicates()
+
+    columns = ", ".join(f"{x} {'long' if k == pa.int64() else 'int'}" for x, k in kinds)
+    dealt = per.mapInArrow(deal, columns).repartition(*names).sortWithinPartitions(*names)
+    found = materialize(dealt.mapInPandas(by_group(names, few), f"t0 long, t1 long, {columns}"), "rest")
+    rows = found.where("t0 is null").select(*[x for x, _ in kinds if x != "root"]).join(per.select("t", "sketch"), "t")
+
+    def hot(roots: DataFrame, tree: bool) -> DataFrame:
+        now = rows.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t")).repartition(*names).sortWithinPartitions(*names)
+        return now.mapInPandas(by_group(names, lambda pdf: many(pdf, tree)), "t0 long, t1 long").distinct()
 
-    dealt = per.mapInArrow(deal, ", ".join(f"{x} {'long' if k == pa.int64() else 'int'}" for x, k in kinds))
-    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInPandas(search, "t0 long, t1 long").distinct()
+    return found.where("t0 is not null").select("t0", "t1").distinct(), hot
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -479,8 +530,18 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         return connected_components(edges).withColumnsRenamed({"node": "t", "component": "root"})
 
     sure = verified(materialize(similar_links(classes), "similar"))
-    rest = materialize(rest_links(marked, connected(sure), mark, text, width, similarity), "rest")
-    comp = connected(sure.unionByName(verified(rest)))
+    roots = connected(sure)
+    pairs, hot = rest_links(marked, roots, mark, text, width, similarity)
+    found = materialize(pairs.unionByName(hot(roots, True)).distinct(), "rest")
+    while True:
+        # large groups of similar texts become one, then what is left meets as a whole
+        more = verified(found)
+        if more.limit(1).count() == 0:
+            break
+        sure = sure.unionByName(more)
+        roots = connected(sure)
+        found = materialize(hot(roots, True), "rest")
+    comp = connected(sure.unionByName(verified(materialize(hot(roots, False), "rest"))))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("t").alias("mark"))).alias("best")
     least = prints.groupBy("t").agg(best).join(comp, "t", "left").withColumn("root", F.coalesce("root", "t"))
     kid, kmark = fresh(marked, "_k_id"), fresh(marked, "_k_mark")
