@@ -313,3 +313,27 @@ def test_stream_matches(spark, tmp_path):
     stream = spark.readStream.schema("cand_id long, name string").parquet(src)
     streaming.match_stream(stream, ref, ["name"]).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
     assert sorted((r.s1_id, r.cand_id) for r in spark.read.parquet(out).collect()) == [(10, 1), (10, 3)]
+
+
+def test_partial_ratio_of_long_strings_is_that_of_all_windows():
+    import random
+    import time
+
+    rng = random.Random(7)
+    pick = lambda n: "".join(rng.choice("abcd ef") for _ in range(n))
+
+    def windows(a, b):
+        a, b = sorted((a, b), key=len)
+        n = len(a)
+        return max(sim.indel(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)) if b[max(0, i) : i + n])
+
+    for _ in range(300):
+        a, b = pick(rng.randint(1, 20)), pick(rng.randint(1, 40))
+        assert sim.partial(a, b) == windows(a, b)
+        c = pick(6) + a[: len(a) // 2] + "z" + a[len(a) // 2 :] + b
+        assert sim.partial(a, c) == windows(a, c)
+    a, b = pick(4000), pick(4400)
+    began = time.process_time()
+    sim.partial(a, b)
+    # all windows: over ten times as long
+    assert time.process_time() - began < 3
