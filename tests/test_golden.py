@@ -337,3 +337,23 @@ def test_partial_ratio_of_long_strings_is_that_of_all_windows():
     sim.partial(a, b)
     # all windows: over ten times as long
     assert time.process_time() - began < 3
+
+
+def test_written_views_plan_each_step_alone_and_keep_ties(spark):
+    names = ["alpha beta gamma", "beta gamma delta", "alpha delta", "gamma alpha beta", "epsilon"]
+    rows = [(i, "de", names[i % 5], "") for i in range(200)]
+    a = spark.createDataFrame(rows[:60], "s1_id long, ctry string, name string, addr string")
+    b = spark.createDataFrame([(1000 + i, *r[1:]) for i, r in enumerate(rows)], "cand_id long, ctry string, name string, addr string")
+    tokens = {"words": tx.words, "grams": tx.char_grams}
+    joins = []
+
+    def keep(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    out = blocking.block(a, b, tokens, keep=keep)
+    plain = blocking.block(a, b, tokens)
+    key = lambda df: sorted((r.s1_id, r.cand_id) for r in df.collect())
+    assert key(out) == key(plain)
+    whole = plain._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert max(joins) * 3 < whole and len(joins) == 15
