@@ -28,10 +28,13 @@ often as they occur; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -43,7 +46,7 @@ from .common import materialize
 END = b""
 HASHES = 3
 #: Words of a block, words of a bucket, bytes of a broadcast, texts scored at a time.
-BLOCK_WORDS, BUCKET_WORDS, GROUP_BYTES, SLICE = 1 << 20, 3 << 19, 1 << 26, 512
+BLOCK_WORDS, BUCKET_WORDS, GROUP_BYTES, SLICE = 1 << 20, 3 << 18, 1 << 26, 512
 #: Bytes of text scored at a time, if more than one text.
 SLICE_BYTES = 1 << 21
 #: Levels that a count has at most; a context seen so often weighs one half.
@@ -130,6 +133,14 @@ def probe(gram: np.ndarray, groups: list, buckets: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Workers stay for the next task; what they have let go of goes back to the
+    system, else each keeps its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words(raw: bytes) -> list[bytes]:
     out = raw.lower().split()
     out.append(END)
@@ -202,8 +213,11 @@ def block_rows(buckets: int):
                     if size >= BLOCK_WORDS:
                         yield from flush(part << 32 | seq, known, ids, train, keys)
                         known, ids, train, keys, size, seq = {}, [], [], [], 0, seq + 1
+                        give_back()
         if ids:
             yield from flush(part << 32 | seq, known, ids, train, keys)
+        del known, ids, train, keys
+        give_back()
 
     return run
 
@@ -269,6 +283,8 @@ def add_up(base: float, bits_per_entry: float, least_count: int):
         if tokens or any(grams.values()):
             out.append((bucket, -1, SHARD, shard(gram, q, bits_per_entry).tobytes()))
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        del gram, q, grams
+        give_back()
         return pa.table({n.split()[0]: pa.array([o[i] for o in out], x) for i, (n, x) in enumerate(zip(ROW.split(", "), types, strict=True))})
 
     return work
@@ -350,7 +366,7 @@ def model_scores(rows: DataFrame, groups: list, buckets: int, n: int, v: int, ba
         filters = [(first, held(bc, len(groups) == 1)) for first, bc in groups]
         known: dict[bytes, int] = {}
         for whole in batches:
-            size, j = np.cumsum([len(x) for x in whole.column(text).cast(pa.binary()).to_pylist()]), 0
+            size, j = np.cumsum(pc.binary_length(whole.column(text)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
             while j < whole.num_rows:
                 i, most = j, (size[j - 1] if j else 0) + SLICE_BYTES
                 j = min(i + SLICE, max(i + 1, int(np.searchsorted(size, most, side="right"))))
@@ -372,8 +388,10 @@ def model_scores(rows: DataFrame, groups: list, buckets: int, n: int, v: int, ba
                 one[begins] = q[-1]
                 two[begins] = 0  # a text's first token has no pair before it
                 yield b, begins, q1, q2, q3, one, two
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
+        known.clear()
+        give_back()
 
     def run(batches):
         for b, begins, q1, q2, q3, one, two in slices(batches, 3):

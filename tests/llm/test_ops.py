@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -482,3 +483,17 @@ def test_lm_bucket_holds_one_kind_at_a_time():
     finally:
         tracemalloc.stop()
     assert out.num_rows == 1 and peak < 60e6  # 86 MB with all kinds at once
+
+
+def test_lm_workers_give_memory_back(monkeypatch):
+    """A worker that stays for the next task does not keep its peak."""
+    calls = []
+    monkeypatch.setattr(bloom_lm, "give_back", lambda: calls.append(1), raising=False)
+    monkeypatch.setattr(bloom_lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([True, False]), pa.array(["a b a", "b c"])], names=["k", "train", "text"])
+    sent = pa.Table.from_batches(list(bloom_lm.block_rows(1)(iter([texts]))))
+    assert len(calls) == 1
+    bloom_lm.add_up(1.5, 8.0, 2)(sent)
+    assert len(calls) == 2
+    bloom_lm.give_back()
+    assert bloom_lm.BUCKET_WORDS <= 3 << 18
