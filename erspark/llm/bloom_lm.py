@@ -28,8 +28,6 @@ often as they occur; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import math
 
 import numpy as np
@@ -41,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chaining import pack, unpack
-from .common import materialize
+from .common import give_back, materialize
 
 END = b""
 HASHES = 3
@@ -133,14 +131,6 @@ def probe(gram: np.ndarray, groups: list, buckets: int) -> np.ndarray:
     return out
 
 
-def give_back() -> None:
-    """Workers stay for the next task; what they have let go of goes back to the
-    system, else each keeps its peak."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def words(raw: bytes) -> list[bytes]:
     out = raw.lower().split()
     out.append(END)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chaining import pack, unpack, word_hashes
-from .common import connected_components, discard, fresh, map_texts, materialize
+from .common import connected_components, discard, fresh, map_texts, materialize, those_among
 
 #: (lowest bit, bits) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -396,7 +396,7 @@ def by_group(names: list[str], solve):
 
 
 def rest_links(docs: DataFrame, roots: DataFrame, t: str, text: str, width: int, similarity: float):
-    """(pairs, hot) for pairs (t0, t1) of texts with different roots (t, root; a
+    """(pairs, hot, what was written) for pairs (t0, t1) of texts with different roots (t, root; a
     text without a row is its own) that share one of their first shingles and may
     be similar: those that share one of few holders, and a function of newer roots
     and tree that gives those that share one of many."""
@@ -482,7 +482,7 @@ def rest_links(docs: DataFrame, roots: DataFrame, t: str, text: str, width: int,
         now = rows.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t")).repartition(*names).sortWithinPartitions(*names)
         return now.mapInPandas(by_group(names, lambda pdf: many(pdf, tree)), "t0 long, t1 long").distinct()
 
-    return found.where("t0 is not null").select("t0", "t1").distinct(), hot
+    return found.where("t0 is not null").select("t0", "t1").distinct(), hot, (per, found)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -518,7 +518,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     def verified(found: DataFrame) -> DataFrame:
         """The pairs whose whole shingle sets are similar."""
         ends = found.select(F.col("t0").alias("t")).unionByName(found.select(F.col("t1").alias("t"))).distinct()
-        texts = marked.select(F.col(mark).alias("t"), F.col(f"`{text}`").alias("text")).join(ends, "t", "left_semi").dropDuplicates(["t"])
+        texts = those_among(marked.select(F.col(mark).alias("t"), F.col(f"`{text}`").cast("string").alias("text")), "t", ends).dropDuplicates(["t"])
         sets = materialize(map_texts(texts, ["t"], "t long, s binary", lambda xs, ts: [ts, [shingle_set(x, width).tobytes() for x in xs]], "text"), "sets")
         side = lambda t, s: sets.select(F.col("t").alias(t), F.col("s").alias(s))
         good = found.join(side("t0", "x"), "t0").join(side("t1", "y"), "t1").select(F.col("t0").alias("a"), F.col("t1").alias("b"), "x", "y").mapInPandas(check, "a long, b long")
@@ -531,7 +531,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
 
     sure = verified(materialize(similar_links(classes), "similar"))
     roots = connected(sure)
-    pairs, hot = rest_links(marked, roots, mark, text, width, similarity)
+    pairs, hot, parts = rest_links(marked, roots, mark, text, width, similarity)
     found = materialize(pairs.unionByName(hot(roots, True)).distinct(), "rest")
     while True:
         # large groups of similar texts become one, then what is left meets as a whole
@@ -544,7 +544,14 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     comp = connected(sure.unionByName(verified(materialize(hot(roots, False), "rest"))))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("t").alias("mark"))).alias("best")
     least = prints.groupBy("t").agg(best).join(comp, "t", "left").withColumn("root", F.coalesce("root", "t"))
-    kid, kmark = fresh(marked, "_k_id"), fresh(marked, "_k_mark")
-    keep = least.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias(kid), F.col("best.mark").alias(kmark)).distinct()
-    out = marked.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col(kid)) & (F.col(mark) == F.col(kmark)), "left_semi")
-    return out.dropDuplicates([id_col, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    for df in parts:
+        discard(df)
+    # rows of one (id, hash) lie together: one shuffle for the choice and for repeated rows
+    row, kept = fresh(marked, "_row"), fresh(marked, "_kept")
+    keep = least.groupBy("root").agg(F.min("best").alias("best")).select(F.struct("best.id", "best.mark").alias(kept)).distinct()
+    keep = keep.withColumn(row, F.xxhash64(f"{kept}.id", f"{kept}.mark"))
+    rows = marked.withColumn(row, F.xxhash64(F.col(f"`{id_col}`"), mark))
+    own = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(mark).alias("mark"))
+    # as an order, so that the hash alone is the key of the join
+    out = rows.join(keep.withColumnRenamed(row, f"{row}_"), (F.col(row) == F.col(f"{row}_")) & (own <= F.col(kept)) & (own >= F.col(kept)), "left_semi")
+    return out.dropDuplicates([row, id_col, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
