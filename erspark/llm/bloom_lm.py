@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chaining import pack, unpack
-from .common import give_back, materialize
+from .common import BATCH_ROWS, discard, give_back, materialize
 
 END = b""
 HASHES = 3
@@ -181,6 +181,7 @@ def block_rows(buckets: int):
             for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
                 if j > i:
                     yield row(b, block, kind, np.diff(grams[i:j], prepend=np.uint64(0)), n[i:j].astype(np.int32))
+        del pair, triple, every, grams, n
         # token by token: documents and how often; the bucket is any
         doc = np.repeat(np.arange(len(ids)), lengths)
         spot, tf = np.unique(flat * len(ids) + doc, return_counts=True)
@@ -300,7 +301,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base: flo
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // (6 * BUCKET_WORDS)))
     sent = rows.select("k", "train", "text").mapInArrow(block_rows(buckets), ROW)
-    done = materialize(sent.groupBy("bucket").applyInArrow(add_up(base, bits_per_entry, least_count), ROW), "counts")
+    done = materialize(sent.groupBy("bucket").applyInArrow(add_up(base, bits_per_entry, least_count), ROW), "counts", BATCH_ROWS)
     # one row a bucket
     n = v = 0
     for r in done.where(F.col("kind") == STATS).select("body").toLocalIterator():
@@ -308,8 +309,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base: flo
         n, v = n + int(x[0]), v + int(x[1])
     groups = broadcasts(done.where(F.col("kind") == SHARD).select("bucket", "body"), buckets)
     sums = done.where(F.col("kind").isin(POSTINGS, ANSWER)).groupBy("block").applyInArrow(base_sums, "k long, n_tokens long, n_known long, logs double")
-    model = model_scores(rows, groups, buckets, n, v, base, docs.schema[id_col].dataType.simpleString())
-    plain = sums.dropDuplicates(["k"]).withColumn("base_score", F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1)))
+    # written, so that the shards leave the executors
+    model = materialize(model_scores(rows, groups, buckets, n, v, base, docs.schema[id_col].dataType.simpleString()), "scores", BATCH_ROWS)
+    for _, bc in groups:
+        bc.destroy()
+    plain = materialize(sums.dropDuplicates(["k"]), "sums")
+    discard(done)
+    plain = plain.withColumn("base_score", F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1)))
     out = model.join(plain, "k")
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

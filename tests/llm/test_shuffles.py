@@ -54,3 +54,18 @@ def test_components_on_the_driver_equal_rounds(spark, monkeypatch, small):
     got = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in got.collect()} == {x: find(x) for x in root}
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lm_shards_leave_the_executors(spark, docs, monkeypatch):
+    """What was broadcast is gone when the scores are there, batches are bounded."""
+    from erspark.llm import bloom_lm
+
+    sent, rows = [], []
+    real, write = bloom_lm.broadcasts, bloom_lm.materialize
+    monkeypatch.setattr(bloom_lm, "broadcasts", lambda *a: sent.append(real(*a)) or sent[-1])
+    monkeypatch.setattr(bloom_lm, "materialize", lambda df, name="t", batch_rows=None: rows.append((name, batch_rows)) or write(df, name, batch_rows))
+    before = spark.conf.get(common.BATCH)
+    out = bloom_lm.score(docs)
+    assert out.count() == docs.count()
+    assert sent and all(bc._jbroadcast is None or not bc._jbroadcast.isValid() for group in sent for _, bc in group)
+    assert dict(rows)["counts"] == dict(rows)["scores"] == common.BATCH_ROWS and spark.conf.get(common.BATCH) == before
