@@ -1,5 +1,6 @@
 """Worked cases and brute force for the library."""
 
+import random
 from itertools import product
 
 import numpy as np
@@ -357,3 +358,17 @@ def test_written_views_plan_each_step_alone_and_keep_ties(spark):
     assert key(out) == key(plain)
     whole = plain._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert max(joins) * 3 < whole and len(joins) == 15
+
+
+def test_ratios_skip_what_both_share():
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(25)]
+    plain = lambda a, b: 200.0 * sim.lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+    for _ in range(2000):
+        a, b = (" ".join(rng.choices(pool, k=rng.randrange(7))) for _ in range(2))
+        assert sim.kept(a, b) == sim.lcs(a, b) and sim.indel(a, b) == plain(a, b)
+        x, y = set(a.split()), set(b.split())
+        if x and y and not (x & y and (x <= y or y <= x)):
+            both = " ".join(sorted(x & y))
+            left, right = ((both + " " + " ".join(sorted(z))).strip() for z in (x - y, y - x))
+            assert sim.set_ratio(a, b) == max(plain(left, right), *((plain(both, left), plain(both, right)) if both else (0.0,)))
